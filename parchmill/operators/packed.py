@@ -108,3 +108,17 @@ def unpack(df: DataFrame, key: str, text: str, separators: str = SEPARATORS) ->
                 yield pa.RecordBatch.from_arrays([b["_key"].take(pa.array(at)), pa.array(pos, pa.int32()), pa.array(values, pa.string()), pa.array(kinds, pa.string()), pa.array(bads)], [key, "pos", "value", "kind", "malformed"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, pos int, value string, kind string, malformed boolean")
+
+
+def unpack_lists(df: DataFrame, key: str, text: str, separators: str = SEPARATORS) -> DataFrame:
+    """``unpack`` with one row per record: (key, values array<string>), also for records without values."""
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).groupBy("_key").agg(F.max("_text").alias("_text"))
+    kind = dict(df.select(F.col(key).alias("k")).dtypes)["k"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grammar = Grammar(separators)
+        for b in batches:
+            lists = [[v for v, _, _ in grammar.parse(_text(t))] for t in b["_text"].cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b["_key"], pa.array(lists, pa.list_(pa.string()))], [key, "values"])
+
+    return rows.mapInArrow(run, f"`{key}` {kind}, values array<string>")
