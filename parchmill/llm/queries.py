@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.functions.text import folded, terms
-from parchmill.llm import frequency, overlap, setjoin, splits
+from parchmill.llm import content, frequency, leakage, overlap, packing, setjoin, splits
 from parchmill.operators.packed import unpack_lists
 from parchmill.plans.copies import SQL as COPIES
 from parchmill.session import spread, table
@@ -96,6 +96,61 @@ def adjacent_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("corpus_id", "pairs", F.round("found", 6).alias("found"), "delivered", F.round(F.coalesce("delivered", "found"), 6).alias("filled"))
 
 
+def packed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
+
+
+def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that lie in several pieces."""
+    return packed_texts(spark, sf_dir).where("pieces > 1").select("doc_id").distinct()
+
+
+def packing_totals(spark: SparkSession, sf_dir: str, capacity: int = 8192) -> DataFrame:
+    """Containers, items, tokens and the share of the containers' room that is used."""
+    each = packed_texts(spark, sf_dir).groupBy("shard", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
+    return each.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), (F.sum("tokens") / (F.count("*") * capacity)).alias("used"))
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return leakage.leaks(documents, "doc_id", "text", table(spark, sf_dir, "heldout_items"), "item_id", "text")
+
+
+def leaked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).where("how = 'verbatim'").select("doc_id", "item_id")
+
+
+def leaks_and_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+def leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per suite and kind of leak: items that leaked and documents that hold them."""
+    suites = table(spark, sf_dir, "heldout_items").groupBy("item_id").agg(F.max("suite").alias("suite"))
+    found = _leaks(spark, sf_dir).join(suites, "item_id")
+    return found.groupBy("suite", "how").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("documents"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = content.train_on(documents, "doc_id", "text", table(spark, sf_dir, "content_labels"))
+    return content.score(spread(documents.select("doc_id", "text")), "doc_id", "text", model)
+
+
+def content_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.categories(_scores(spark, sf_dir), "doc_id")
+
+
+def content_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: documents and the share with each category."""
+    from parchmill.session import materialize
+
+    scores = materialize(_scores(spark, sf_dir), "scores")
+    both = table(spark, sf_dir, "documents").select("doc_id", "source").join(scores, "doc_id")
+    rates = [F.avg((F.col(c) >= 0.5).cast("double")).alias(c) for c in content.CLASSES[1:]]
+    return both.groupBy("source").agg(F.count("*").alias("documents"), *rates)
+
+
 QUERIES = {
     "p2_found": broken_ties,
     "p2_splits": grouped_splits,
@@ -107,6 +162,14 @@ QUERIES = {
     "p6_found": similar_pages,
     "p6_classes": similar_page_classes,
     "p6_adjacent": adjacent_overlap,
+    "p7_found": split_texts,
+    "p7_packing": packed_texts,
+    "p7_totals": packing_totals,
+    "p8_found": leaked_passages,
+    "p8_leaks": leaks_and_paraphrases,
+    "p8_items": leaked_items,
+    "p9_found": content_categories,
+    "p9_rates": content_rates,
 }
 
 _B = "' ' || chr(9)"
@@ -137,6 +200,7 @@ p AS (SELECT a.line_id AS a, b.line_id AS b, len(list_intersect(a.terms, b.terms
 """
 
 SQL = {
+    "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 8192",
     "p2_found": f"""
 WITH RECURSIVE l AS (SELECT line_id, max(struct_pack(f := lower(trim(physical_folio, {_B})), p := lower(trim(page_id, {_B})), s := lower(trim(split, {_B})))) AS r
                      FROM eligible_lines GROUP BY line_id),
