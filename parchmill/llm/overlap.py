@@ -18,6 +18,11 @@ sequences is their intersection, and verified on the terms themselves.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +33,30 @@ from parchmill.session import materialize
 HEAVY_SHARE, HEAVY = 0.002, 1024
 
 
-def _winnow(seq: Column, heavy: Column) -> Column:
-    """(fp, pos) of the kept two-term fingerprints of ``seq``; pos from 0."""
-    n = F.size(seq)
-    grams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct((F.array_contains(heavy, F.element_at(seq, i)).cast("int") + F.array_contains(heavy, F.element_at(seq, i + 1)).cast("int")).alias("h"), F.xxhash64(F.element_at(seq, i), F.element_at(seq, i + 1)).alias("fp"), (i - 1).alias("pos")))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.least(F.element_at(grams, i), F.element_at(grams, i + 1))))
+def _winnower(heavy: np.ndarray):
+    """(class, n, left, right, fp, pos) of the kept two-term fingerprints of each hashed sequence; pos from 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b["hashes"]
+            h = lists.flatten().to_numpy()
+            sizes = pc.list_value_length(lists).to_numpy().astype(np.int64)
+            if not len(h):
+                continue
+            row, first = np.repeat(np.arange(len(b)), sizes), np.cumsum(sizes) - sizes
+            burden = np.isin(h, heavy).astype(np.int8)
+            with np.errstate(over="ignore"):
+                fp = (h[:-1] * np.int64(-7046029254386353131)) ^ (h[1:] + np.int64(0x632BE59BD9B4E01))
+            burden = burden[:-1] + burden[1:]
+            gram = np.flatnonzero(row[:-1] == row[1:])
+            window = gram[:-1][np.diff(gram) == 1]
+            window = window[row[window] == row[window + 2]]
+            second = (burden[window + 1] < burden[window]) | ((burden[window + 1] == burden[window]) & (fp[window + 1] < fp[window]))
+            kept = np.unique(window + second)
+            of = pa.array(row[kept])
+            yield pa.RecordBatch.from_arrays([*[b[c].take(of) for c in ("class", "n", "left", "right")], pa.array(fp[kept]), pa.array((kept - first[row[kept]]).astype(np.int32))], ["class", "n", "left", "right", "fp", "pos"])
+
+    return run
 
 
 def classes(df: DataFrame, key: str, tokens: str, side: Column, keep: dict[str, Column], min_terms: int) -> tuple[DataFrame, DataFrame]:
@@ -55,10 +79,10 @@ def similar_classes(groups: DataFrame) -> DataFrame:
     """(left_class, right_class, shared, left_n, right_n, seeds) of classes on different sides, Jaccard at least 3/4."""
     counts = groups.select(F.explode("seq").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = groups.count()
-    heavy = [r["term"] for r in counts.where(F.col("df") > HEAVY_SHARE * n).orderBy(F.desc("df"), "term").limit(HEAVY).collect()]
-    listed = F.array(*map(F.lit, heavy)) if heavy else F.array().cast("array<string>")
-    seeds = groups.select("class", "n", "left", "right", F.explode(_winnow(F.col("seq"), listed)).alias("s")).select("class", "n", "left", "right", "s.fp", "s.pos")
-    seeds = materialize(seeds, "seeds")
+    heavy = [r["h"] for r in counts.where(F.col("df") > HEAVY_SHARE * n).orderBy(F.desc("df"), "term").limit(HEAVY).select(F.xxhash64("term").alias("h")).collect()]
+    hashed = groups.select("class", "n", "left", "right", F.transform("seq", lambda t: F.xxhash64(t)).alias("hashes"))
+    kind = dict(groups.dtypes)["class"]
+    seeds = materialize(hashed.mapInArrow(_winnower(np.array(heavy, np.int64)), f"class {kind}, n int, left boolean, right boolean, fp long, pos int"), "seeds")
     a = seeds.where("left").select("fp", F.col("class").alias("left_class"), F.col("n").alias("ln"), F.col("pos").alias("lp"))
     b = seeds.where("right").select("fp", F.col("class").alias("right_class"), F.col("n").alias("rn"), F.col("pos").alias("rp"))
     fits = (F.col("left_class") != F.col("right_class")) & (4 * F.least("ln", "rn") >= 3 * F.greatest("ln", "rn"))
