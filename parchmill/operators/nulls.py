@@ -23,7 +23,7 @@ def shuffled(df: DataFrame, n: int, cell: list[str], slot: str, values: list[str
     """(rep, cell..., slot, values...): the values of each cell moved to other slots of it, jointly, n times.
 
     One sort by cell and replicate gives the places; values are brought back by their place, so slots keep their meaning.
-    ``slot`` is unique in the table.
+    ``slot`` is unique in the table; rows with a null in a cell column are left out.
     """
     c = Window.partitionBy(*cell)
     slots = df.select(*cell, slot, F.row_number().over(c.orderBy(slot)).alias("_at"))

@@ -108,7 +108,9 @@ def rational(whole: list[int], f: list[int], delta: int) -> tuple[list[int], lis
     m = len(whole) - 1
     r0, r1, t0, t1 = whole, _trim(f[:]), [], [1]
     most = (m - 1 + delta) // 2
-    while len(r1) - 1 > most:
+    if abs(delta) >= m:
+        return None  # more rows differ than the bound allows
+    while r1 and len(r1) - 1 > most:
         q, r = _divmod(r0, r1)
         qt = _polymul(q, t1)
         t = [((t0[i] if i < len(t0) else 0) - (qt[i] if i < len(qt) else 0)) % P for i in range(max(len(t0), len(qt)))]
