@@ -81,8 +81,8 @@ def _coder(vocabulary: dict[str, int], need: int):
     return run
 
 
-def _matrix(blocks: list[np.ndarray], size: int, idf: np.ndarray | None = None) -> np.ndarray:
-    """TF-IDF rows of unit length (or 0/1 presence without idf) of word-code blocks over a vocabulary of ``size``."""
+def _matrix(blocks: list[np.ndarray], size: int, idf: np.ndarray | None = None, unit: bool = True) -> np.ndarray:
+    """TF-IDF rows, of unit length or as they are (0/1 presence without idf), of word-code blocks over a vocabulary of ``size``."""
     out = np.zeros((len(blocks), size), np.float32)
     lengths = np.array([len(x) for x in blocks])
     flat, row = np.concatenate(blocks) if blocks else np.zeros(0, np.int32), np.repeat(np.arange(len(blocks)), lengths)
@@ -91,7 +91,7 @@ def _matrix(blocks: list[np.ndarray], size: int, idf: np.ndarray | None = None)
     if idf is None:
         return (out > 0).astype(np.float32)
     out *= idf
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+    return out if not unit else out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], need: int, rows: int):
@@ -178,9 +178,9 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return len(a) - bin(v).count("1")
 
 
-def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, lcs_share: float, answer_words: int, rows: int):
-    q = _matrix(items.queries, len(idf), idf) @ basis
-    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9)
+def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, least: float, held: float, lcs_share: float, answer_words: int, rows: int):
+    q = _matrix(items.queries, len(idf), idf, unit=False) @ basis
+    length = np.maximum(np.linalg.norm(q, axis=1), 1e-9)
     n_items = len(items.keys)
     answers = [set(c[np.argsort(-idf[c], kind="stable")][:answer_words].tolist()) for c in items.codes]
     starts_of = np.flatnonzero(np.diff(items.query_item, prepend=-1))
@@ -209,10 +209,12 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, lcs_s
             candidates: dict[tuple[int, int], list[int]] = {}
             texts = []
             for _, texts, blocks, number, starts in _chunks(iter([b]), items.need, rows):
-                x = _matrix(blocks, len(idf), idf) @ basis
-                x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                best = np.maximum.reduceat(x @ q.T, starts_of, axis=1)
-                for p, item in zip(*np.nonzero(best >= near)):
+                x = _matrix(blocks, len(idf), idf, unit=False) @ basis
+                along = x @ (q / length[:, None]).T
+                cosine = along / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+                hit = (cosine >= near) | ((cosine >= least) & (along >= held * length))
+                best = np.logical_or.reduceat(hit, starts_of, axis=1)
+                for p, item in zip(*np.nonzero(best)):
                     candidates.setdefault((number[p], int(item)), []).append(starts[p])
             found = [(i, item, *d) for (i, item), at in candidates.items() if (d := decide(texts[i], item, at))]
             if found:
@@ -223,12 +225,14 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, lcs_s
     return run
 
 
-def leaks(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, near: float = 0.6, lcs_share: float = 0.7, answer_words: int = 3, block: int = 4096, rows: int = 2048) -> DataFrame:
+def leaks(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, near: float = 0.6, least: float = 0.3, held: float = 0.75, lcs_share: float = 0.7, answer_words: int = 3, block: int = 4096, rows: int = 2048) -> DataFrame:
     """(key, item key, how: verbatim or paraphrase, share of the item's words in order), a row per text and item leaked.
 
     Words are those of ``words.words``. Null, empty and wordless texts and items leak nothing; a repeated text is reported
-    for each of its keys, rows of a repeated key once. Texts may be of any length. ``near`` is the least cosine of a
-    candidate. Other columns are ignored; no texts or no items give no rows.
+    for each of its keys, rows of a repeated key once. Texts may be of any length. A passage is a candidate from a cosine of
+    ``near`` on, or of ``least`` if its part along the query is ``held`` of the query's length or more (a passage that holds
+    all words of the query has its whole length, however much else is in it). Other columns are ignored; no texts or no
+    items give no rows.
     """
     source = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
     kind, item_kind = source.schema["_key"].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
@@ -242,7 +246,7 @@ def leaks(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str
             continue
         coded = materialize(source.mapInArrow(_coder(own.vocabulary, own.need), f"_key {kind}, codes array<int>"), "codes")
         idf, basis = latent_space(coded, own, rows=rows)
-        found = coded.mapInArrow(_search(own, idf, basis, near, lcs_share, answer_words, rows), f"_key {kind}, _item {item_kind}, how string, share double")
+        found = coded.mapInArrow(_search(own, idf, basis, near, least, held, lcs_share, answer_words, rows), f"_key {kind}, _item {item_kind}, how string, share double")
         out = found if out is None else out.unionAll(found)
     if out is None:
         out = source.sparkSession.createDataFrame([], f"_key {kind}, _item {item_kind}, how string, share double")
