@@ -6,9 +6,9 @@ sexual. Misspelt, masked or stretched words share most n-grams with the usual sp
 characters, spaced and repeated letters are undone beforehand.
 
 Labels are given for whole texts by annotators who err, so training is weakly supervised: passages of a text begin with
-the text's majority label. Two models, each trained on half of the texts, then judge the other half: passages of a text
-labelled with a category that are taken for none become none, those taken for another category get that one, and passages
-of texts labelled none that look clearly like a category are left out; the last model is trained on all. Embeddings and softmax are trained jointly (Adagrad). Equal passages count once for each label.
+the text's majority label. Two models, each trained on half of the texts, then judge the other half, and every passage
+gets the class that is likeliest by their judgement and by the labels of all the texts that hold it; the last model is
+trained on all. Embeddings and softmax are trained jointly (Adagrad). A passage that n texts hold weighs sqrt(n), 10 at most.
 
 The model is trained on at most ``max_labelled`` labelled texts, the first in hash order; everything else covers all rows.
 """
@@ -49,7 +49,7 @@ def _unleet(m: re.Match) -> str:
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 _END = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|\n+")
 _TOKEN = re.compile(r"[^\W\d_*]+(?:[*'’]+[^\W\d_*]+)*[*]*|\d+|[*]+[^\W\d_*]+")
-LONG, WINDOW, STEP = 18, 12, 4
+LONG, WINDOW, STEP = 14, 8, 4
 
 
 def undisguised(text: str) -> str:
@@ -121,7 +121,7 @@ def bags(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
 class Model:
     """Embeddings (size x dim) and softmax weights (dim x classes)."""
 
-    def __init__(self, size: int = 1 << 17, dim: int = 16, seed: int = 408):
+    def __init__(self, size: int = 1 << 19, dim: int = 16, seed: int = 408):
         g = np.random.default_rng(seed)
         self.size, self.dim = size, dim
         self.e = (g.standard_normal((size, dim)) / dim).astype(np.float32)
@@ -176,37 +176,46 @@ def probabilities(table: np.ndarray, bias: np.ndarray, texts: list[str]) -> np.n
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, updates: int = 2000, keep: float = 0.3, **model) -> Model:
-    """A model from (text, majority label) pairs; ``rounds`` of relabelling by models that haven't seen the passage's text."""
-    texts, place, fold, given = [], {}, [], []
+def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, updates: int = 2000, final_epochs: int = 10, honest: float = 0.75, trust: float = 0.35, **model) -> Model:
+    """A model from (text, majority label) pairs; ``rounds`` of relabelling by models trained on the other half of the texts."""
+    texts, place, given = [], {}, []
     for k, (text, label) in enumerate(labelled):
         for p in dict.fromkeys(passages(text)):
             if p not in place:
                 place[p] = len(texts)
                 texts.append(p)
-                fold.append(k % 2)
-                given.append([0] * len(CLASSES))
-            given[place[p]][CLASSES.index(label)] += 1
-    counts, half = np.array(given).reshape(-1, len(CLASSES)), np.array(fold, np.int64)
+                given.append(np.zeros((2, len(CLASSES)), np.int64))
+            given[place[p]][k % 2, CLASSES.index(label)] += 1
+    halves = np.array(given, np.int64).reshape(-1, 2, len(CLASSES))
+    counts, inside = halves.sum(axis=1), halves.sum(axis=2) > 0
     flagged = counts[:, 1:].sum(axis=1)
-    target = np.where(flagged > counts[:, 0], counts[:, 1:].argmax(axis=1) + 1, 0)
-    weight = np.ones(len(texts), np.float32)
-
-    def fitted(rows: np.ndarray) -> Model:
+    majority = lambda c: np.where(c[:, 1:].sum(axis=1) > c[:, 0], c[:, 1:].argmax(axis=1) + 1, 0)
+    targets = [majority(halves[:, h]) for h in (0, 1)]
+    # says[c, l]: how often a text with a passage of class c is labelled l; a text with a harmless one is like any text.
+    shares = (counts.sum(axis=0) + 1) / (counts.sum() + len(CLASSES))
+    says = np.full((len(CLASSES), len(CLASSES)), (1 - honest) / (len(CLASSES) - 1))
+    np.fill_diagonal(says, honest)
+    says[0] = shares
+
+    def fitted(rows: np.ndarray, target: np.ndarray, n: int = epochs) -> Model:
         m = Model(**model)
-        m.fit([texts[i] for i in rows], target[rows], weight[rows], epochs, updates)
+        m.fit([texts[i] for i in rows], target[rows], np.minimum(np.sqrt(counts[rows].sum(axis=1)), 10).astype(np.float32), n, updates)
         return m
 
+    target = targets[0]
     for _ in range(rounds):
-        p = np.zeros((len(texts), len(CLASSES)))
+        p, judges = np.zeros((len(texts), len(CLASSES))), np.zeros(len(texts))
         for h in (0, 1):
-            m, other = fitted(np.flatnonzero(half == h)), np.flatnonzero(half != h)
-            p[other] = probabilities(m.table(), m.b, [texts[i] for i in other])
-        # A passage that texts labelled none have as often is none (a greeting, a stock phrase).
-        target = np.where((flagged > counts[:, 0]) & (p[:, 0] < 1 - keep), p[:, 1:].argmax(axis=1) + 1, 0)
-        # Only in texts labelled none, but clearly of a category: an annotator's slip, perhaps.
-        weight = np.where((flagged == 0) & (p[:, 0] < 0.2), 0, 1).astype(np.float32)
-    return fitted(np.arange(len(texts)))
+            m, judged = fitted(np.flatnonzero(inside[:, h]), targets[h]), np.flatnonzero(inside[:, 1 - h])
+            p[judged] += probabilities(m.table(), m.b, [texts[i] for i in judged])
+            judges[judged] += 1
+        p = np.clip(p / np.maximum(judges, 1)[:, None], 0.02, 0.98)
+        # What the labels of all texts that hold the passage say, were it of each class; tempered, as in a text with a
+        # label the other passages may be what it was given for.
+        posterior = np.log(p) + trust * (counts @ np.log(says).T)
+        target = posterior.argmax(axis=1)
+        targets = [target, target]
+    return fitted(np.arange(len(texts)), target, final_epochs)
 
 
 def _scorer(table: np.ndarray, bias: np.ndarray):
@@ -267,7 +276,7 @@ def score(texts: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     return out.withColumnRenamed("_key", key)
 
 
-def categories(scores: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
+def categories(scores: DataFrame, key: str, threshold: float = 0.6) -> DataFrame:
     """(key, category): a row for each category that some passage is of with at least ``threshold``."""
     named = F.array_compact(F.array(*[F.when(F.col(c) >= threshold, F.lit(c)) for c in CLASSES[1:]]))
     return scores.select(key, F.explode(named).alias("category")).distinct()

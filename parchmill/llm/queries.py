@@ -147,7 +147,7 @@ def content_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scores = materialize(_scores(spark, sf_dir), "scores")
     both = table(spark, sf_dir, "documents").select("doc_id", "source").join(scores, "doc_id")
-    rates = [F.avg((F.col(c) >= 0.5).cast("double")).alias(c) for c in content.CLASSES[1:]]
+    rates = [F.avg((F.col(c) >= 0.6).cast("double")).alias(c) for c in content.CLASSES[1:]]
     return both.groupBy("source").agg(F.count("*").alias("documents"), *rates)
 
 
