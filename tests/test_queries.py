@@ -7,7 +7,7 @@ import pytest
 
 from tests.conftest import DATA, against_sql
 
-MODULES = [f"parchmill.plans.{m}" for m in ("copies", "tokens", "statistics", "alignment", "chance", "records", "models")]
+MODULES = [f"parchmill.plans.{m}" for m in ("copies", "tokens", "statistics", "alignment", "chance", "records", "models", "extras")]
 QUERIES = {n: f for m in MODULES for n, f in importlib.import_module(m).QUERIES.items()}
 SQL = {n: s for m in MODULES for n, s in importlib.import_module(m).SQL.items()}
 pytestmark = pytest.mark.skipif(not Path(DATA, "sf0.001").exists(), reason="no test tables")
