@@ -81,7 +81,8 @@ def frequencies(records: DataFrame, rare_at_most: int = 2, common_share: tuple[i
     """
     lists = materialize(records.select(F.filter(F.coalesce("terms", F.array().cast("array<string>")), lambda t: t.isNotNull()).alias("terms")), "terms")
     detected = lists.mapInArrow(_detect, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    heavy = [r["term"] for r in detected.orderBy(F.desc("n"), "term").limit(HEAVY).collect()]
+    # Long terms are never heavy, so what goes to the tasks is bounded in bytes too.
+    heavy = [r["term"] for r in detected.where("length(term) <= 256").orderBy(F.desc("n"), "term").limit(HEAVY).collect()]
     counted = lists.mapInArrow(_counter(heavy), "term string, occurrences long, records long, heavy boolean")
     sums = [F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")]
     light = counted.where("NOT heavy").groupBy("term").agg(*sums)
