@@ -127,6 +127,7 @@ class Model:
         self.e = (g.standard_normal((size, dim)) / dim).astype(np.float32)
         self.w = (g.standard_normal((dim, len(CLASSES))) / dim).astype(np.float32)
         self.b = np.zeros(len(CLASSES), np.float32)
+        self.thresholds = dict.fromkeys(CLASSES[1:], 0.6)
 
     def table(self) -> np.ndarray:
         """Each feature's share in the scores; all that scoring needs."""
@@ -176,16 +177,23 @@ def probabilities(table: np.ndarray, bias: np.ndarray, texts: list[str]) -> np.n
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, updates: int = 2000, final_epochs: int = 10, honest: float = 0.75, trust: float = 0.35, **model) -> Model:
-    """A model from (text, majority label) pairs; ``rounds`` of relabelling by models trained on the other half of the texts."""
-    texts, place, given = [], {}, []
+def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, updates: int = 800, final_epochs: int = 10, honest: float = 0.75, trust: float = 0.35, least: float = 0.6, allowed: float = 0.005, **model) -> Model:
+    """A model from (text, majority label) pairs; ``rounds`` of relabelling by models trained on the other half of the texts.
+
+    ``thresholds`` of the model: for each category ``least``, or as much as leaves at most a share of ``allowed`` of the
+    texts labelled none above it, by the models that haven't seen them; with few labels the models are less sure.
+    """
+    texts, place, given, harmless = [], {}, [], []
     for k, (text, label) in enumerate(labelled):
-        for p in dict.fromkeys(passages(text)):
+        own = dict.fromkeys(passages(text))
+        for p in own:
             if p not in place:
                 place[p] = len(texts)
                 texts.append(p)
                 given.append(np.zeros((2, len(CLASSES)), np.int64))
             given[place[p]][k % 2, CLASSES.index(label)] += 1
+        if label == "none" and own:
+            harmless.append((k % 2, [place[p] for p in own]))
     halves = np.array(given, np.int64).reshape(-1, 2, len(CLASSES))
     counts, inside = halves.sum(axis=1), halves.sum(axis=2) > 0
     flagged = counts[:, 1:].sum(axis=1)
@@ -202,20 +210,27 @@ def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, upd
         m.fit([texts[i] for i in rows], target[rows], np.minimum(np.sqrt(counts[rows].sum(axis=1)), 10).astype(np.float32), n, updates)
         return m
 
-    target = targets[0]
-    for _ in range(rounds):
+    target, worst = targets[0], np.zeros((0, len(CLASSES)))
+    for k in range(rounds):
         p, judges = np.zeros((len(texts), len(CLASSES))), np.zeros(len(texts))
+        worst = np.zeros((len(harmless), len(CLASSES)))
         for h in (0, 1):
-            m, judged = fitted(np.flatnonzero(inside[:, h]), targets[h]), np.flatnonzero(inside[:, 1 - h])
-            p[judged] += probabilities(m.table(), m.b, [texts[i] for i in judged])
-            judges[judged] += 1
+            m, judged = fitted(np.flatnonzero(inside[:, h]), targets[h], final_epochs if k == rounds - 1 else epochs), np.flatnonzero(inside[:, 1 - h])
+            q = np.zeros((len(texts), len(CLASSES)))
+            q[judged] = probabilities(m.table(), m.b, [texts[i] for i in judged])
+            p, judges[judged] = p + q, judges[judged] + 1
+            for j, (half, ids) in enumerate(harmless):
+                if half != h:
+                    worst[j] = q[ids].max(axis=0)
         p = np.clip(p / np.maximum(judges, 1)[:, None], 0.02, 0.98)
         # What the labels of all texts that hold the passage say, were it of each class; tempered, as in a text with a
         # label the other passages may be what it was given for.
         posterior = np.log(p) + trust * (counts @ np.log(says).T)
         target = posterior.argmax(axis=1)
         targets = [target, target]
-    return fitted(np.arange(len(texts)), target, final_epochs)
+    m = fitted(np.arange(len(texts)), target, final_epochs)
+    m.thresholds = {c: float(np.clip(np.quantile(worst[:, i], 1 - allowed), least, 0.99)) if len(worst) else least for i, c in enumerate(CLASSES) if i}
+    return m
 
 
 def _scorer(table: np.ndarray, bias: np.ndarray):
@@ -276,7 +291,7 @@ def score(texts: DataFrame, key: str, text: str, model: Model) -> DataFrame:
     return out.withColumnRenamed("_key", key)
 
 
-def categories(scores: DataFrame, key: str, threshold: float = 0.6) -> DataFrame:
-    """(key, category): a row for each category that some passage is of with at least ``threshold``."""
-    named = F.array_compact(F.array(*[F.when(F.col(c) >= threshold, F.lit(c)) for c in CLASSES[1:]]))
+def categories(scores: DataFrame, key: str, thresholds: dict[str, float]) -> DataFrame:
+    """(key, category): a row for each category that some passage is of with at least its threshold."""
+    named = F.array_compact(F.array(*[F.when(F.col(c) >= thresholds[c], F.lit(c)) for c in CLASSES[1:]]))
     return scores.select(key, F.explode(named).alias("category")).distinct()

@@ -11,7 +11,7 @@ from parchmill.functions.text import folded, terms
 from parchmill.llm import content, frequency, leakage, overlap, packing, setjoin, splits
 from parchmill.operators.packed import unpack_lists
 from parchmill.plans.copies import SQL as COPIES
-from parchmill.session import spread, table
+from parchmill.session import materialize, spread, table
 
 SHARES = {"training": 0.8, "validation": 0.1, "holdout": 0.1}
 
@@ -131,23 +131,22 @@ def leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("suite", "how").agg(F.countDistinct("item_id").alias("items"), F.countDistinct("doc_id").alias("documents"))
 
 
-def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, float]]:
     documents = table(spark, sf_dir, "documents")
     model = content.train_on(documents, "doc_id", "text", table(spark, sf_dir, "content_labels"))
-    return content.score(spread(documents.select("doc_id", "text")), "doc_id", "text", model)
+    return content.score(spread(documents.select("doc_id", "text")), "doc_id", "text", model), model.thresholds
 
 
 def content_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content.categories(_scores(spark, sf_dir), "doc_id")
+    scores, thresholds = _scores(spark, sf_dir)
+    return content.categories(scores, "doc_id", thresholds)
 
 
 def content_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source: documents and the share with each category."""
-    from parchmill.session import materialize
-
-    scores = materialize(_scores(spark, sf_dir), "scores")
-    both = table(spark, sf_dir, "documents").select("doc_id", "source").join(scores, "doc_id")
-    rates = [F.avg((F.col(c) >= 0.6).cast("double")).alias(c) for c in content.CLASSES[1:]]
+    scores, thresholds = _scores(spark, sf_dir)
+    both = table(spark, sf_dir, "documents").select("doc_id", "source").join(materialize(scores, "scores"), "doc_id")
+    rates = [F.avg((F.col(c) >= thresholds[c]).cast("double")).alias(c) for c in content.CLASSES[1:]]
     return both.groupBy("source").agg(F.count("*").alias("documents"), *rates)
 
 
