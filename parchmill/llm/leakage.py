@@ -59,11 +59,15 @@ class Items:
         self.query_item = np.array(self.query_item, np.int64)
 
 
-def _passages(codes: np.ndarray, need: int) -> np.ndarray:
-    """Starts of the passages of a text with at least ``need`` vocabulary words."""
-    starts = np.array([a for a, _ in _windows(len(codes), WIDTH, STEP)])
-    known = np.concatenate([[0], np.cumsum(codes >= 0)])
-    return starts[known[np.minimum(starts + WIDTH, len(codes))] - known[starts] >= need]
+def _passages(codes: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, passages x WIDTH codes, -1 beyond the end) of a text's passages with at least ``need`` vocabulary words."""
+    last = max(0, -(-(len(codes) - WIDTH) // STEP)) * STEP if len(codes) > WIDTH else 0
+    starts = np.arange(0, last + 1, STEP)
+    padded = np.full(last + WIDTH, -1, np.int32)
+    padded[: len(codes)] = codes
+    known = np.concatenate([[0], np.cumsum(padded >= 0)])
+    starts = starts[known[starts + WIDTH] - known[starts] >= need]
+    return starts, padded[starts[:, None] + np.arange(WIDTH)]
 
 
 def _coder(vocabulary: dict[str, int], need: int):
@@ -72,7 +76,7 @@ def _coder(vocabulary: dict[str, int], need: int):
             at, codes = [], []
             for i, t in enumerate(b["_text"].cast(pa.binary()).to_pylist()):
                 c = np.array([vocabulary.get(w, -1) for w in words(text_of(t))], np.int32)
-                if len(c) and len(_passages(c, need)):
+                if len(c) and len(_passages(c, need)[0]):
                     at.append(i)
                     codes.append(c)
             if at:
@@ -81,40 +85,79 @@ def _coder(vocabulary: dict[str, int], need: int):
     return run
 
 
-def _matrix(blocks: list[np.ndarray], size: int, idf: np.ndarray | None = None, unit: bool = True) -> np.ndarray:
-    """TF-IDF rows, of unit length or as they are (0/1 presence without idf), of word-code blocks over a vocabulary of ``size``."""
-    out = np.zeros((len(blocks), size), np.float32)
-    lengths = np.array([len(x) for x in blocks])
-    flat, row = np.concatenate(blocks) if blocks else np.zeros(0, np.int32), np.repeat(np.arange(len(blocks)), lengths)
-    known = flat >= 0
-    np.add.at(out, (row[known], flat[known]), 1)
-    if idf is None:
-        return (out > 0).astype(np.float32)
-    out *= idf
-    return out if not unit else out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+def _block(codes: list[np.ndarray], width: int = WIDTH) -> np.ndarray:
+    """Code sequences as rows of one width, filled up with -1."""
+    out = np.full((len(codes), max([width, *map(len, codes)])), -1, np.int32)
+    for i, c in enumerate(codes):
+        out[i, : len(c)] = c
+    return out
+
+
+def _same(block: np.ndarray) -> np.ndarray:
+    return (block[:, :, None] == block[:, None, :]) & (block >= 0)[:, :, None]
+
+
+def _weights(block: np.ndarray, idf: np.ndarray, unit: bool) -> np.ndarray:
+    """The TF-IDF weight of each place, so that a row's vector is the sum of its places; of unit length, or as it is."""
+    w = np.where(block >= 0, idf[block], 0).astype(np.float32)
+    if unit:
+        # A term's places add up: |row|^2 is the sum over all pairs of places with the same term.
+        norm = np.sqrt((_same(block) * (w * w)[:, :, None]).sum(axis=(1, 2)))
+        w /= np.maximum(norm, 1e-9)[:, None]
+    return w
+
+
+def _project(block: np.ndarray, w: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Rows times ``x`` (terms x rank), gathering a row of ``x`` per place."""
+    out = np.zeros((len(block), x.shape[1]), np.float32)
+    for k in range(block.shape[1]):
+        out += w[:, k, None] * x[block[:, k]]
+    return out
+
+
+def _spread(block: np.ndarray, w: np.ndarray, y: np.ndarray, size: int) -> np.ndarray:
+    """The transposed rows times ``y``: terms x rank."""
+    row, place = np.nonzero(block >= 0)
+    code = block[row, place]
+    order = np.argsort(code, kind="stable")
+    code, row, value = code[order], row[order], w[row, place][order]
+    out = np.zeros((size, y.shape[1]), np.float64)
+    if len(code):
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        out[code[first]] = np.add.reduceat(value[:, None] * y[row], first, axis=0)
+    return out
+
+
+def _document_frequency(block: np.ndarray, size: int) -> np.ndarray:
+    earlier = np.tril(np.ones((block.shape[1],) * 2, bool), -1)
+    new = (block >= 0) & ~(_same(block) & earlier).any(axis=2)
+    return np.bincount(block[new], minlength=size)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], need: int, rows: int):
-    """Passages of all texts, at most ``rows`` at a time: (blocks, text number, starts) and the texts' batch columns."""
+    """Passages of all texts, about ``rows`` at a time: (block, text numbers, starts, texts), never across batches."""
     for b in batches:
         texts = [np.asarray(c, np.int32) for c in b["codes"].to_numpy(zero_copy_only=False)]
-        held: tuple[list, list, list] = ([], [], [])
+        held: list[tuple] = []
+        size = 0
         for i, c in enumerate(texts):
-            for s in _passages(c, need):
-                held[0].append(c[s : s + WIDTH]), held[1].append(i), held[2].append(int(s))
-                if len(held[0]) >= rows:
-                    yield b, texts, *held
-                    held = ([], [], [])
-        if held[0]:
-            yield b, texts, *held
+            starts, block = _passages(c, need)
+            for s in range(0, len(starts), rows):
+                held.append((block[s : s + rows], np.full(len(starts[s : s + rows]), i), starts[s : s + rows]))
+                size += len(held[-1][2])
+                if size >= rows:
+                    yield *map(np.concatenate, zip(*held)), texts
+                    held, size = [], 0
+        if held:
+            yield *map(np.concatenate, zip(*held)), texts
 
 
 def _frequency(size: int, need: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(size, np.int64), 0
-        for _, _, blocks, _, _ in _chunks(batches, need, rows):
-            df += _matrix(blocks, size).sum(axis=0).astype(np.int64)
-            n += len(blocks)
+        for block, _, _, _ in _chunks(batches, need, rows):
+            df += _document_frequency(block, size)
+            n += len(block)
         yield pa.RecordBatch.from_arrays([pa.array([*range(size), -1]), pa.array([*df.tolist(), n])], ["term", "n"])
 
     return run
@@ -125,9 +168,9 @@ def _gram(x: np.ndarray, idf: np.ndarray, need: int, rows: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(x.shape, np.float64)
-        for _, _, blocks, _, _ in _chunks(batches, need, rows):
-            a = _matrix(blocks, len(idf), idf)
-            out += a.T @ (a @ x)
+        for block, _, _, _ in _chunks(batches, need, rows):
+            w = _weights(block, idf, unit=True)
+            out += _spread(block, w, _project(block, w, x), len(idf))
         yield pa.RecordBatch.from_arrays([pa.array(range(len(out))), *[pa.array(out[:, j]) for j in range(x.shape[1])]], ["term", *[f"y{j}" for j in range(x.shape[1])]])
 
     return run
@@ -146,14 +189,14 @@ def latent_space(texts: DataFrame, items: Items, rank: int = RANK, seed: int = 4
             total = r["n"]
         else:
             df[r["term"]] = r["n"]
-    own = _matrix(items.queries, size)
-    df, total = df + own.sum(axis=0).astype(np.int64), total + len(own)
+    own = _block(items.queries)
+    df, total = df + _document_frequency(own, size), total + len(own)
     idf = (1 + np.log((1 + total) / (1 + df))).astype(np.float32)
-    a = _matrix(items.queries, size, idf)
+    w = _weights(own, idf, unit=True)
     width = min(size, rank + SPARE)
     x = np.linalg.qr(np.random.default_rng(seed).standard_normal((size, width)))[0].astype(np.float32)
     for last in (False, True):
-        y = (a.T @ (a @ x)).astype(np.float64)
+        y = _spread(own, w, _project(own, w, x), size)
         sums = texts.mapInArrow(_gram(x, idf, items.need, rows), "term long, " + ", ".join(f"y{j} double" for j in range(width)))
         for r in sums.groupBy("term").agg(*[F.sum(f"y{j}").alias(f"y{j}") for j in range(width)]).toLocalIterator():
             y[r["term"]] += [r[f"y{j}"] for j in range(width)]
@@ -179,11 +222,15 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, least: float, held: float, lcs_share: float, answer_words: int, rows: int):
-    q = _matrix(items.queries, len(idf), idf, unit=False) @ basis
+    own = _block(items.queries)
+    q = _project(own, _weights(own, idf, unit=False), basis)
     length = np.maximum(np.linalg.norm(q, axis=1), 1e-9)
-    n_items = len(items.keys)
+    q /= length[:, None]
+    # A passage with too few vocabulary words for a query can't hold it: items of fewer than RUN words, which need least,
+    # are few and compared with all passages, the others only with passages of at least QUERY vocabulary words.
+    brief = np.array([len(c) < RUN for c in items.codes])[items.query_item]
+    groups = [(g, np.flatnonzero(np.diff(items.query_item[g], prepend=-1)), need) for g, need in ((np.flatnonzero(brief), items.need), (np.flatnonzero(~brief), QUERY)) if len(g)]
     answers = [set(c[np.argsort(-idf[c], kind="stable")][:answer_words].tolist()) for c in items.codes]
-    starts_of = np.flatnonzero(np.diff(items.query_item, prepend=-1))
 
     def decide(codes: np.ndarray, item: int, starts: list[int]) -> tuple[str, float] | None:
         size, runs = items.run_size[item], items.runs[item]
@@ -208,20 +255,22 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, least
         for b in batches:
             candidates: dict[tuple[int, int], list[int]] = {}
             texts = []
-            for _, texts, blocks, number, starts in _chunks(iter([b]), items.need, rows):
-                x = _matrix(blocks, len(idf), idf, unit=False) @ basis
-                along = x @ (q / length[:, None]).T
-                cosine = along / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-                hit = (cosine >= near) | ((cosine >= least) & (along >= held * length))
-                best = np.logical_or.reduceat(hit, starts_of, axis=1)
-                for p, item in zip(*np.nonzero(best)):
-                    candidates.setdefault((number[p], int(item)), []).append(starts[p])
+            for block, number, starts, texts in _chunks(iter([b]), items.need, rows):
+                x = _project(block, _weights(block, idf, unit=False), basis)
+                norm = np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+                known = (block >= 0).sum(axis=1)
+                for g, first, need in groups:
+                    rows_ = np.flatnonzero(known >= need)
+                    along = x[rows_] @ q[g].T
+                    cosine = along / norm[rows_]
+                    hit = (cosine >= near) | ((cosine >= least) & (along >= held * length[g]))
+                    for p, k in zip(*np.nonzero(np.logical_or.reduceat(hit, first, axis=1))) if len(rows_) else ():
+                        candidates.setdefault((int(number[rows_[p]]), int(items.query_item[g][first[k]])), []).append(int(starts[rows_[p]]))
             found = [(i, item, *d) for (i, item), at in candidates.items() if (d := decide(texts[i], item, at))]
             if found:
                 i, item, how, share = zip(*found)
                 yield pa.RecordBatch.from_arrays([b["_key"].take(pa.array(i)), pa.array([items.keys[k] for k in item]), pa.array(how), pa.array(share)], ["_key", "_item", "how", "share"])
 
-    assert len(starts_of) == n_items
     return run
 
 
