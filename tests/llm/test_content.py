@@ -66,7 +66,7 @@ def test_scores_and_labels(spark, model):
     df = spark.createDataFrame([(1, "fine. shut up you moron nobody asked you.", "x", 2), (2, None, "x", 2), (3, "", "x", 2), (4, "the table gives the word boundary by quire. " * 3000, "x", 2), (None, "?", "x", 2)], "id LONG, text STRING, hate STRING, passages INT")
     s = C.score(df, "id", "text", model)
     assert s.count() == 5 and s.where("id = 2").first()["passages"] == 0
-    assert rows(C.categories(s, "id")) == [(1, "abuse")]
+    assert rows(C.categories(s, "id", model.thresholds)) == [(1, "abuse")]
     assert C.score(df.limit(0), "id", "text", model).count() == 0
     votes = spark.createDataFrame([(1, "a", "none"), (1, "a", "none"), (1, "b", "hate"), (2, "a", "hate"), (2, "b", "hate"), (2, "c", "none"), (3, "a", None), (4, "a", "odd"), (None, "a", "hate")], "doc LONG, by STRING, what STRING")
     assert rows(C.majority(votes, "doc", "by", "what")) == [(2, "hate")]

@@ -29,6 +29,28 @@ def test_lcs(a, b):
     assert leakage.lcs(np.array(a), np.array(b)) == t[-1][-1]
 
 
+def test_passages_cover_every_run_of_twelve():
+    for n in range(1, 70):
+        starts, block = leakage._passages(np.arange(n, dtype=np.int32), 1)
+        run = min(12, n)
+        assert all(any(a <= s and s + run <= a + leakage.WIDTH for a in starts) for s in range(n - run + 1))
+        assert set(block[block >= 0].tolist()) == set(range(n))
+
+
+def test_sparse_algebra_equals_dense():
+    g = np.random.default_rng(3)
+    block, idf, x = g.integers(-1, 6, (40, 15)).astype(np.int32), g.random(6).astype(np.float32) + 1, g.random((6, 4)).astype(np.float32)
+    dense = np.zeros((40, 6))
+    for i, row in enumerate(block):
+        for c in row[row >= 0]:
+            dense[i, c] += idf[c]
+    assert leakage._document_frequency(block, 6).tolist() == (dense > 0).sum(axis=0).tolist()
+    unit = dense / np.maximum(np.linalg.norm(dense, axis=1, keepdims=True), 1e-9)
+    for want, w in ((dense, leakage._weights(block, idf, False)), (unit, leakage._weights(block, idf, True))):
+        assert np.allclose(leakage._project(block, w, x), want @ x, atol=1e-4)
+        assert np.allclose(leakage._spread(block, w, leakage._project(block, w, x), 6), want.T @ (want @ x), atol=1e-3)
+
+
 def test_windows_cover_every_run():
     for n in range(1, 80):
         for width, step in ((15, 4), (9, 4)):
