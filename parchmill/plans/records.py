@@ -164,7 +164,45 @@ def conservation(spark, sf_dir):
     return day.join(each, "day").groupBy((F.col("total") == F.col("parts")).alias("conserved")).agg(F.count("*").alias("days"))
 
 
+def share_rules(spark, sf_dir):
+    """JSN-02: shares of an order's items in basis points, largest remainder first, must make up the whole."""
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    whole = Window.partitionBy("l_orderkey")
+    l = l.withColumn("total", F.sum("cents").over(whole)).where("total > 0").withColumn("floor", F.expr("cents * 10000 DIV total")).withColumn("rest", F.expr("cents * 10000 % total"))
+    l = l.withColumn("missing", 10000 - F.sum("floor").over(whole)).withColumn("k", F.row_number().over(whole.orderBy(F.desc("rest"), "l_linenumber")))
+    shares = l.withColumn("share", F.col("floor") + (F.col("k") <= F.col("missing")).cast("long"))
+    o = shares.groupBy("l_orderkey").agg(F.sum("share").alias("sum"), F.count("*").alias("items"), F.max("share").alias("most"))
+    return o.groupBy("items").agg(F.count("*").alias("orders"), F.count_if(F.col("sum") != 10000).alias("broken"), F.sum("most").alias("most"))
+
+
+def unknown_references(spark, sf_dir):
+    """JSN-05: references to records that aren't there, by kind."""
+    t = {n: table(spark, sf_dir, n) for n in ("lineitem", "orders", "part", "supplier", "customer", "content_labels", "documents")}
+    checks = [("item_order", "lineitem", "l_orderkey", "orders", "o_orderkey"), ("item_part", "lineitem", "l_partkey", "part", "p_partkey"), ("item_supplier", "lineitem", "l_suppkey", "supplier", "s_suppkey"), ("order_customer", "orders", "o_custkey", "customer", "c_custkey"), ("label_document", "content_labels", "doc_id", "documents", "doc_id")]
+    one = lambda name, a, k, b, r: t[a].select(F.col(k).alias("k")).join(t[b].select(F.col(r).alias("k")), "k", "left_anti").agg(F.lit(name).alias("reference"), F.count("*").alias("unknown"))
+    out = one(*checks[0])
+    for c in checks[1:]:
+        out = out.unionAll(one(*c))
+    return out
+
+
+def publication_delay(spark, sf_dir):
+    """LED-01: texts by the days from writing to arrival, of sources that are known."""
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL AND created_at IS NOT NULL AND received_at IS NOT NULL")
+    return d.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("received_at") > F.col("created_at") + F.expr("INTERVAL 7 DAYS")).alias("late"), F.count_if(F.col("received_at") < F.col("created_at")).alias("before"))
+
+
+def current_state(spark, sf_dir):
+    """LED-04: of every user the last value of each kind, without those that are nothing."""
+    e = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by(F.round(F.col("value") * 100).cast("long"), "event_id").alias("units"))
+    return e.where("units <> 0").groupBy("event_type").agg(F.count("*").alias("users"), F.sum("units").alias("units"))
+
+
 QUERIES = {
+    "jsn02_share_rules": share_rules,
+    "jsn05_unknown_references": unknown_references,
+    "led01_publication_delay": publication_delay,
+    "led04_current_state": current_state,
     "src01_scanned_loci": scanned_loci,
     "src01_scan_errors": scan_errors,
     "src02_baseline_rules": baseline_rules,
@@ -191,6 +229,15 @@ i AS (SELECT family, v, greatest(0, v - coalesce(max(v) OVER (PARTITION BY famil
 SELECT family, CAST(sum(i) AS BIGINT) AS total, max(v) AS highest, count(*) FILTER (WHERE i > 0) AS raises FROM i GROUP BY family"""
 
 SQL = {
+    "jsn02_share_rules": """WITH l AS (SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents FROM lineitem), t AS (SELECT *, CAST(sum(cents) OVER (PARTITION BY l_orderkey) AS BIGINT) AS total FROM l),
+f AS (SELECT *, cents * 10000 // total AS fl, cents * 10000 % total AS rest FROM t WHERE total > 0), m AS (SELECT *, 10000 - sum(fl) OVER (PARTITION BY l_orderkey) AS missing, row_number() OVER (PARTITION BY l_orderkey ORDER BY rest DESC, l_linenumber) AS k FROM f),
+o AS (SELECT l_orderkey, sum(fl + CAST(k <= missing AS BIGINT)) AS s, count(*) AS items, max(fl + CAST(k <= missing AS BIGINT)) AS most FROM m GROUP BY l_orderkey)
+SELECT items, count(*) AS orders, count(*) FILTER (WHERE s <> 10000) AS broken, CAST(sum(most) AS BIGINT) AS most FROM o GROUP BY items""",
+    "jsn05_unknown_references": """SELECT 'item_order' AS reference, count(*) AS unknown FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey UNION ALL SELECT 'item_part', count(*) FROM lineitem ANTI JOIN part ON l_partkey = p_partkey
+UNION ALL SELECT 'item_supplier', count(*) FROM lineitem ANTI JOIN supplier ON l_suppkey = s_suppkey UNION ALL SELECT 'order_customer', count(*) FROM orders ANTI JOIN customer ON o_custkey = c_custkey
+UNION ALL SELECT 'label_document', count(*) FROM content_labels c ANTI JOIN documents d ON c.doc_id = d.doc_id""",
+    "led01_publication_delay": "SELECT source, count(*) AS n, count(*) FILTER (WHERE received_at > created_at + INTERVAL 7 DAY) AS late, count(*) FILTER (WHERE received_at < created_at) AS before FROM documents WHERE source IS NOT NULL AND created_at IS NOT NULL AND received_at IS NOT NULL GROUP BY source",
+    "led04_current_state": "WITH e AS (SELECT user_id, event_type, arg_max(CAST(round(value * 100) AS BIGINT), event_id) AS units FROM events GROUP BY ALL) SELECT event_type, count(*) AS users, CAST(sum(units) AS BIGINT) AS units FROM e WHERE units <> 0 GROUP BY event_type",
     "src01_scanned_loci": f"""WITH {base.LOCI}, p AS (SELECT locus_id, max(len(physical_lines)) AS k FROM loci GROUP BY locus_id)
 SELECT file, page_id, number, locator, locus_type, transcriber, regexp_replace(text, '^[ \\t\\n\\r\\f\\v]+', '') AS text, contains(text, '<%>') AS paragraph_start, contains(text, '<$>') AS paragraph_end, k AS lines FROM loc JOIN p USING (locus_id) WHERE locator IS NOT NULL AND text IS NOT NULL""",
     "src02_baseline_rules": rf"""WITH {base.LOCI}, c AS (SELECT file, text, count(*) OVER (PARTITION BY page_id, number, transcriber) AS c FROM loc)
