@@ -37,8 +37,8 @@ def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
     cells = df.groupBy(a, b).agg(F.count("*").alias("c"))
     rows = cells.groupBy(a).agg(F.sum("c").alias("ca"))
     cols = cells.groupBy(b).agg(F.sum("c").alias("cb"))
-    total = Window.partitionBy()
-    return cells.join(rows, a).join(cols, b).withColumn("n", F.sum("c").over(total))
+    total = cells.agg(F.sum("c").alias("n"))
+    return cells.join(rows, a).join(cols, b).join(F.broadcast(total))  # total is a single row
 
 
 def midrank(by: list[str], order: Column, value: Column) -> Column:

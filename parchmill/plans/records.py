@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parchmill.operators.order import global_rank
 from parchmill.plans import base
 from parchmill.session import table
 from parchmill.sources import sinks, transcription
@@ -126,7 +127,7 @@ def leaderboard(spark, sf_dir):
     kinds = ["click", "error", "purchase", "signup", "view"]
     p = _units(spark, sf_dir).groupBy("user_id").pivot("event_type", kinds).agg(F.sum("units")).na.fill(0)
     t = p.withColumn("units", sum((F.col(k) for k in kinds), F.lit(0).cast("long")))
-    return t.withColumn("rank", F.rank().over(Window.orderBy(F.desc("units"))).cast("long"))  # a row per user
+    return global_rank(t, "units")
 
 
 def newcomers(spark, sf_dir):

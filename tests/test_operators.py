@@ -111,3 +111,12 @@ def test_distributions():
     low, high = similarity.hypergeometric_tail(pd.DataFrame({"a": [1], "m1": [2], "k": [2], "n": [4]}))
     assert low == pytest.approx(5 / 6) and high == pytest.approx(5 / 6)
     assert math.isclose(sum(similarity.hypergeometric_tail(pd.DataFrame({"a": [0, 2], "m1": [2, 2], "k": [2, 2], "n": [4, 4]}))) , 2 * 27 / 36)
+
+
+def test_global_rank(spark):
+    from parchmill.operators.order import global_rank
+
+    d = spark.createDataFrame([(i, v) for i, v in enumerate([10, 5, 5, 2, None] + [1] * 30)], "id INT, v INT").repartition(3)
+    r = dict(map(tuple, global_rank(d, "v").select("id", "rank").collect()))
+    assert [r[i] for i in range(5)] == [1, 2, 2, 4, 35] and {r[i] for i in range(5, 35)} == {5}
+    assert global_rank(d.limit(0), "v").count() == 0
