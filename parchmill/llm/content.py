@@ -7,8 +7,8 @@ characters, spaced and repeated letters are undone beforehand.
 
 Labels are given for whole texts by annotators who err, so training is weakly supervised: passages of a text begin with
 the text's majority label. Two models, each trained on half of the texts, then judge the other half, and every passage
-gets the class that is likeliest by their judgement and by the labels of all the texts that hold it; the last model is
-trained on all. Embeddings and softmax are trained jointly (Adagrad). A passage that n texts hold weighs sqrt(n), 10 at most.
+gets the class that is likeliest by their judgement and by the labels of all the texts that hold it; a last model is
+trained on all. The scores of the three are averaged, which evens out what each learnt by chance. Embeddings and softmax are trained jointly (Adagrad). A passage that n texts hold weighs sqrt(n), 10 at most.
 
 The model is trained on at most ``max_labelled`` labelled texts, the first in hash order; everything else covers all rows.
 """
@@ -49,7 +49,7 @@ def _unleet(m: re.Match) -> str:
 _REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 _END = re.compile(r"(?<=[.!?])[\"'”’)\]]*\s+|\n+")
 _TOKEN = re.compile(r"[^\W\d_*]+(?:[*'’]+[^\W\d_*]+)*[*]*|\d+|[*]+[^\W\d_*]+")
-LONG, WINDOW, STEP = 14, 8, 4
+BRIEF, LONG, WINDOW, STEP = 3, 14, 8, 4
 
 
 def undisguised(text: str) -> str:
@@ -64,15 +64,20 @@ def undisguised(text: str) -> str:
 
 def passages(text: str) -> list[str]:
     """Passages as words separated by single spaces; numbers become 0."""
-    out = []
-    for sentence in _END.split(_TAG.sub("\n", undisguised(text)) if "<" in text else undisguised(text)):
-        tokens = ["0" if t[0].isdigit() else t for t in _TOKEN.findall(sentence)]
-        if len(tokens) <= LONG:
-            if tokens:
-                out.append(" ".join(tokens))
+    out, brief = [], []
+    text = undisguised(text)
+    for sentence in _END.split(_TAG.sub("\n", text) if "<" in text else text):
+        tokens = brief + ["0" if t[0].isdigit() else t for t in _TOKEN.findall(sentence)]
+        brief = []
+        if len(tokens) < BRIEF:
+            brief = tokens  # too little to judge by itself, goes with what follows
+        elif len(tokens) <= LONG:
+            out.append(" ".join(tokens))
         else:
             starts = [*range(0, len(tokens) - WINDOW, STEP), len(tokens) - WINDOW]
             out += [" ".join(tokens[s : s + WINDOW]) for s in starts]
+    if brief and not out:
+        out.append(" ".join(brief))
     return out
 
 
@@ -128,10 +133,17 @@ class Model:
         self.w = (g.standard_normal((dim, len(CLASSES))) / dim).astype(np.float32)
         self.b = np.zeros(len(CLASSES), np.float32)
         self.thresholds = dict.fromkeys(CLASSES[1:], 0.6)
+        self.shares: np.ndarray | None = None
 
     def table(self) -> np.ndarray:
-        """Each feature's share in the scores; all that scoring needs."""
-        return (self.e @ self.w).astype(np.float32)
+        """Each feature's share in the scores; with the bias, all that scoring needs."""
+        return self.shares if self.shares is not None else (self.e @ self.w).astype(np.float32)
+
+    def averaged(self, others: list[Model]) -> Model:
+        """This model with the mean scores of itself and others: scores are linear in the tables, so these are averaged."""
+        self.shares = np.mean([self.table(), *[o.table() for o in others]], axis=0, dtype=np.float32)
+        self.b = np.mean([self.b, *[o.b for o in others]], axis=0)
+        return self
 
     def fit(self, texts: list[str], target: np.ndarray, weight: np.ndarray, epochs: int = 4, updates: int = 2000, rate: float = 0.5, batch: int = 64, seed: int = 1) -> None:
         feature, number = bags(texts, self.size)
@@ -177,7 +189,7 @@ def probabilities(table: np.ndarray, bias: np.ndarray, texts: list[str]) -> np.n
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, updates: int = 800, final_epochs: int = 10, honest: float = 0.75, trust: float = 0.35, least: float = 0.6, allowed: float = 0.005, **model) -> Model:
+def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, updates: int = 800, final_epochs: int = 10, honest: float = 0.75, trust: float = 0.2, least: float = 0.6, allowed: float = 0.005, **model) -> Model:
     """A model from (text, majority label) pairs; ``rounds`` of relabelling by models trained on the other half of the texts.
 
     ``thresholds`` of the model: for each category ``least``, or as much as leaves at most a share of ``allowed`` of the
@@ -210,12 +222,13 @@ def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, upd
         m.fit([texts[i] for i in rows], target[rows], np.minimum(np.sqrt(counts[rows].sum(axis=1)), 10).astype(np.float32), n, updates)
         return m
 
-    target, worst = targets[0], np.zeros((0, len(CLASSES)))
+    target, worst, judging = targets[0], np.zeros((0, len(CLASSES))), []
     for k in range(rounds):
         p, judges = np.zeros((len(texts), len(CLASSES))), np.zeros(len(texts))
-        worst = np.zeros((len(harmless), len(CLASSES)))
+        worst, judging = np.zeros((len(harmless), len(CLASSES))), []
         for h in (0, 1):
             m, judged = fitted(np.flatnonzero(inside[:, h]), targets[h], final_epochs if k == rounds - 1 else epochs), np.flatnonzero(inside[:, 1 - h])
+            judging.append(m)
             q = np.zeros((len(texts), len(CLASSES)))
             q[judged] = probabilities(m.table(), m.b, [texts[i] for i in judged])
             p, judges[judged] = p + q, judges[judged] + 1
@@ -223,12 +236,12 @@ def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, upd
                 if half != h:
                     worst[j] = q[ids].max(axis=0)
         p = np.clip(p / np.maximum(judges, 1)[:, None], 0.02, 0.98)
-        # What the labels of all texts that hold the passage say, were it of each class; tempered, as in a text with a
-        # label the other passages may be what it was given for.
+        # What the labels of all texts that hold the passage say, were it of each class; tempered, as a label may be given
+        # for another passage of the text.
         posterior = np.log(p) + trust * (counts @ np.log(says).T)
         target = posterior.argmax(axis=1)
         targets = [target, target]
-    m = fitted(np.arange(len(texts)), target, final_epochs)
+    m = fitted(np.arange(len(texts)), target, final_epochs).averaged(judging)
     m.thresholds = {c: float(np.clip(np.quantile(worst[:, i], 1 - allowed), least, 0.99)) if len(worst) else least for i, c in enumerate(CLASSES) if i}
     return m
 
