@@ -51,7 +51,7 @@ def family_words(text: Column) -> Column:
     return F.filter(F.split(replaced(text, (r"<![^>]*>", ""), (r"\{[^}]*\}", ""), (r"[@,;!?'\"<>0-9]", "")), r"[.\s]+"), lambda w: w != "")
 
 
-#: What a doubtful space (comma) and an alternative become under each space policy.
+#: What a doubtful space (comma) and an alternative become under each space policy.
 POLICIES = {"join": ("", "$1"), "split": (".", "$1"), "strict": ("?", "?")}
 
 
@@ -78,7 +78,7 @@ def view_text(text: Column, space: str = "boundary", first_alternative: bool = T
     return {"boundary": replaced(c, (",", ".")), "join": replaced(c, (",", "")), "retain": c}[space]
 
 
-#: (reason, pattern) in order of priority; the first that a component matches excludes it.
+#: Fixed values: (reason, pattern) in order of priority; the first that a component matches excludes it.
 REASONS = (
     ("uncertain_word_space", ","),
     ("alternative_reading", r"[\[\]:]"),

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 #: The locus types of the format.
 LOCUS_TYPES = ("P0", "P1", "Pb", "Pc", "Pr", "Pt", "L0", "La", "Lc", "Lf", "Ln", "Lp", "Ls", "Lt", "Lx", "Lz", "Ca", "Cc", "Ri", "Ro")
 
+#: The line patterns of the format (locus, short locus, page, header).
 _LOCUS = r"^<([^.,>]+)\.([0-9]+),([@+*=&~/!])([A-Z][a-z0-9])(?:;(.))?>\s*(.*)$"
 _SHORT = r"^<([A-Z]{2})([0-9]{3})(?:;(.))?>\s*(.*)$"
 _PAGE = r"^<([^>.,]+)>(?:\s*<!\s*(.*?)\s*>)?\s*$"
