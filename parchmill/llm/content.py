@@ -87,16 +87,16 @@ _A = np.uint64(0x9E3779B97F4A7C15)
 def _mix(h: np.ndarray, salt: int, size: int) -> np.ndarray:
     h = (h ^ np.uint64(salt * 0x632BE59BD9B4E019 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
-    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int64) % size
+    return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(33)).astype(np.int32) % size
 
 
 def bags(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     """(feature, passage number) of all passages: hashed character n-grams of 3 to 5, words and word pairs."""
     if not texts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
     code = np.frombuffer("".join(f" {t} " for t in texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
     lengths = np.array([len(t) + 2 for t in texts])
-    of = np.repeat(np.arange(len(texts)), lengths)
+    of = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     features, numbers = [], []
     h = code * _A
     for n in range(2, 6):
@@ -147,8 +147,9 @@ class Model:
 
     def fit(self, texts: list[str], target: np.ndarray, weight: np.ndarray, epochs: int = 4, updates: int = 2000, rate: float = 0.5, batch: int = 64, seed: int = 1) -> None:
         feature, number = bags(texts, self.size)
-        order = np.argsort(number, kind="stable")
-        feature, n = feature[order], np.bincount(number, minlength=len(texts))
+        n = np.bincount(number, minlength=len(texts))
+        feature = feature[np.argsort(number, kind="stable")]
+        del number
         first = np.concatenate([[0], np.cumsum(n)])
         ge, gw, gb = np.full(self.size, 1e-4, np.float32), np.full_like(self.w, 1e-4), np.full_like(self.b, 1e-4)
         g = np.random.default_rng(seed)
