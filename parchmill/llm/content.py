@@ -63,7 +63,7 @@ def undisguised(text: str) -> str:
 
 
 def passages(text: str) -> list[str]:
-    """Passages as words separated by single spaces; numbers become 0."""
+    """Passages as words separated by single spaces; numbers become 0. A closing sentence of few words is one by itself."""
     out, brief = [], []
     text = undisguised(text)
     for sentence in _END.split(_TAG.sub("\n", text) if "<" in text else text):
@@ -76,7 +76,7 @@ def passages(text: str) -> list[str]:
         else:
             starts = [*range(0, len(tokens) - WINDOW, STEP), len(tokens) - WINDOW]
             out += [" ".join(tokens[s : s + WINDOW]) for s in starts]
-    if brief and not out:
+    if brief:
         out.append(" ".join(brief))
     return out
 

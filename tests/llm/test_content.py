@@ -50,6 +50,22 @@ def test_disguises_are_undone():
     assert all(len(p.split()) == C.WINDOW for p in C.passages(long)) and C.passages(long)[-1].split()[-1] == long.split()[-1]
 
 
+def test_brief_last_sentences_are_judged(model):
+    assert C.passages("I looked at folio 86 again today. Kill yourself!") == ["i looked at folio 0 again today", "kill yourself"]
+    assert C.passages("The end of the page.\nVerpiss dich!") == ["the end of the page", "verpiss dich"]
+    assert C.passages("Look. I looked at it again today. No. Never") == ["look i looked at it again today", "no never"]
+    assert C.probabilities(model.table(), model.b, C.passages("the table gives the word boundary by quire. Worthless moron!")).max(axis=0)[1] > 0.5
+
+
+def test_brief_last_sentences_are_learnt():
+    g = random.Random(4)
+    fine = [(f"{g.choice(FINE)} number {g.randrange(99)}. cookie settings", "none") for _ in range(300)]
+    bad = [(f"{g.choice(FINE)} number {g.randrange(99)}. {g.choice(['kill yourself', 'vile vermin'])}!", "abuse") for _ in range(100)]
+    m = C.train(fine + bad, updates=600, size=1 << 14)
+    p = C.probabilities(m.table(), m.b, ["cookie settings", "kill yourself"])[:, 1]
+    assert p[0] < 0.1 and p[1] > 0.5
+
+
 def test_misspellings_score_like_the_word(model):
     table = model.table()
     for t in ("shut up you m o r o n nobody asked you", "SHUT UP YOU MOROOOON nobody asked you", "shut up you m0r0n nobody asked you"):
