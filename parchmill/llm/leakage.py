@@ -1,8 +1,8 @@
 """Evaluation texts leaking into training text, by latent semantic retrieval.
 
 The words of the evaluation items are the vocabulary: no passage without them can leak. Texts become sequences of word
-codes (-1: not in the vocabulary); those without a passage of enough vocabulary words are dropped. Passages are windows of
-15 words, one every 4, so every run of 12 words lies within one. Their TF-IDF matrix, with document frequencies over all
+codes (-1: not in the vocabulary); those without a vocabulary word are dropped. Passages are windows of 15 words, one every
+4, so every run of 12 words lies within one. Their TF-IDF matrix, with document frequencies over all
 passages, is factored by a distributed randomised SVD: tasks add up their part of A'AX, terms by rank, and the driver only
 orthogonalises a matrix of vocabulary by rank. Items are cut into queries of 9 words, one every 4 (a run of 12 holds one),
 and every passage is compared with every query by cosine in the latent space. A passage near a query of an item makes the
@@ -12,6 +12,9 @@ text a candidate for the item; candidates are then decided on the words themselv
 * paraphrase: the longest common subsequence of item and region holds at least ``lcs_share`` of the item's words, and the
   region holds the item's answer, its rarest words.
 
+Where only verbatim leaks are asked for, passages with too few vocabulary words to hold a run are left out beforehand; a
+paraphrase has no such least number in a passage, so for paraphrases every passage with a vocabulary word is compared.
+
 The items are a stated query set and are compared with all rows, in blocks of at most ``block`` items.
 """
 
@@ -41,13 +44,15 @@ def _windows(n: int, width: int, step: int) -> list[tuple[int, int]]:
 class Items:
     """A block of evaluation items: vocabulary, word codes, queries."""
 
-    def __init__(self, rows: list[tuple]):
+    def __init__(self, rows: list[tuple], paraphrases: bool = True):
         found = [(key, words(text or "")) for key, text in rows]
         found = [(key, w) for key, w in found if w]
         self.keys = [key for key, _ in found]
         self.vocabulary = {w: i for i, w in enumerate(sorted({w for _, ws in found for w in ws}))}
         self.codes = [np.array([self.vocabulary[w] for w in ws], np.int32) for _, ws in found]
-        self.need = min([RUN, *map(len, self.codes)])
+        self.paraphrases = paraphrases
+        #: Vocabulary words a passage has at least: with a paraphrase any number, with a verbatim run all of its words.
+        self.need = 1 if paraphrases else min([RUN, *map(len, self.codes)])
         #: The runs of an item of which one must be in a text.
         self.runs = [{c[s : s + RUN].tobytes() for s in range(max(1, len(c) - RUN + 1))} for c in self.codes]
         self.run_size = [min(RUN, len(c)) for c in self.codes]
@@ -226,10 +231,10 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, least
     q = _project(own, _weights(own, idf, unit=False), basis)
     length = np.maximum(np.linalg.norm(q, axis=1), 1e-9)
     q /= length[:, None]
-    # A passage with too few vocabulary words for a query can't hold it: items of fewer than RUN words, which need least,
-    # are few and compared with all passages, the others only with passages of at least QUERY vocabulary words.
+    # A passage with too few vocabulary words for a query can't hold it verbatim: without paraphrases, items of fewer than RUN
+    # words, which need least, are few and compared with all passages, the others only with passages of at least QUERY.
     brief = np.array([len(c) < RUN for c in items.codes])[items.query_item]
-    groups = [(g, np.flatnonzero(np.diff(items.query_item[g], prepend=-1)), need) for g, need in ((np.flatnonzero(brief), items.need), (np.flatnonzero(~brief), QUERY)) if len(g)]
+    groups = [(g, np.flatnonzero(np.diff(items.query_item[g], prepend=-1)), need) for g, need in ((np.flatnonzero(brief), items.need), (np.flatnonzero(~brief), 1 if items.paraphrases else QUERY)) if len(g)]
     answers = [set(c[np.argsort(-idf[c], kind="stable")][:answer_words].tolist()) for c in items.codes]
 
     def decide(codes: np.ndarray, item: int, starts: list[int]) -> tuple[str, float] | None:
@@ -238,6 +243,8 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, least
             part = codes[s : s + WIDTH]
             if any(part[k : k + size].tobytes() in runs for k in range(len(part) - size + 1)):
                 return "verbatim", 1.0
+        if not items.paraphrases:
+            return None
         reach = len(items.codes[item]) * 3 // 2
         best = 0.0
         last = -1
@@ -274,13 +281,14 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, least
     return run
 
 
-def leaks(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, near: float = 0.6, least: float = 0.3, held: float = 0.75, lcs_share: float = 0.7, answer_words: int = 3, block: int = 4096, rows: int = 2048) -> DataFrame:
+def leaks(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, near: float = 0.6, least: float = 0.3, held: float = 0.75, lcs_share: float = 0.7, answer_words: int = 3, block: int = 4096, rows: int = 2048, paraphrases: bool = True) -> DataFrame:
     """(key, item key, how: verbatim or paraphrase, share of the item's words in order), a row per text and item leaked.
 
     Words are those of ``words.words``. Null, empty and wordless texts and items leak nothing; a repeated text is reported
     for each of its keys, rows of a repeated key once. Texts may be of any length. A passage is a candidate from a cosine of
     ``near`` on, or of ``least`` if its part along the query is ``held`` of the query's length or more (a passage that holds
-    all words of the query has its whole length, however much else is in it). Other columns are ignored; no texts or no
+    all words of the query has its whole length, however much else is in it). Without ``paraphrases`` only verbatim leaks are
+    looked for, which needs fewer comparisons. Other columns are ignored; no texts or no
     items give no rows.
     """
     source = texts.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
@@ -290,7 +298,7 @@ def leaks(texts: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     out = None
     for k in range(blocks):
         part = stated.where(F.pmod(F.xxhash64("_item"), F.lit(blocks)) == k) if blocks > 1 else stated
-        own = Items([(r["_item"], r["_text"]) for r in part.orderBy("_item", "_text").toLocalIterator()])
+        own = Items([(r["_item"], r["_text"]) for r in part.orderBy("_item", "_text").toLocalIterator()], paraphrases)
         if not own.keys:
             continue
         coded = materialize(source.mapInArrow(_coder(own.vocabulary, own.need), f"_key {kind}, codes array<int>"), "codes")

@@ -111,13 +111,13 @@ def packing_totals(spark: SparkSession, sf_dir: str, capacity: int = 8192) -> Da
     return each.agg(F.count("*").alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"), (F.sum("tokens") / (F.count("*") * capacity)).alias("used"))
 
 
-def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _leaks(spark: SparkSession, sf_dir: str, paraphrases: bool = True) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return leakage.leaks(documents, "doc_id", "text", table(spark, sf_dir, "heldout_items"), "item_id", "text")
+    return leakage.leaks(documents, "doc_id", "text", table(spark, sf_dir, "heldout_items"), "item_id", "text", paraphrases=paraphrases)
 
 
 def leaked_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _leaks(spark, sf_dir).where("how = 'verbatim'").select("doc_id", "item_id")
+    return _leaks(spark, sf_dir, paraphrases=False).where("how = 'verbatim'").select("doc_id", "item_id")
 
 
 def leaks_and_paraphrases(spark: SparkSession, sf_dir: str) -> DataFrame:

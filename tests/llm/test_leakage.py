@@ -89,3 +89,13 @@ def test_paraphrase(spark):
     df = spark.createDataFrame([(1, near), (2, other), (3, item)] + [(i, "nothing of the kind is said in this text about the matter") for i in range(10, 40)], "doc LONG, text STRING")
     it = spark.createDataFrame([(7, item)], "item LONG, text STRING")
     assert rows(leakage.leaks(df, "doc", "text", it, "item", "text").select("doc", "how")) == [(1, "paraphrase"), (3, "verbatim")]
+
+
+def test_sparse_paraphrase_whatever_the_other_items(spark):
+    item = "the abbot of carmel sold seventh ledger to merchant from toledo in winter great flood near old harbour after storm"
+    sparse = " ".join(f"{w} x{i}" for i, w in enumerate(item.split()))
+    df = spark.createDataFrame([(1, sparse), (2, item)] + [(i, "nothing like this is said here about any matter") for i in range(10, 40)], "doc LONG, text STRING")
+    found = lambda *items: rows(leakage.leaks(df, "doc", "text", spark.createDataFrame(list(items), "item LONG, text STRING"), "item", "text").where("item = 7").select("doc", "how"))
+    assert found((7, item)) == found((7, item), (8, "grey quire")) == [(1, "paraphrase"), (2, "verbatim")]
+    it = spark.createDataFrame([(7, item)], "item LONG, text STRING")
+    assert rows(leakage.leaks(df, "doc", "text", it, "item", "text", paraphrases=False).select("doc", "how")) == [(2, "verbatim")]
