@@ -120,3 +120,29 @@ def test_global_rank(spark):
     r = dict(map(tuple, global_rank(d, "v").select("id", "rank").collect()))
     assert [r[i] for i in range(5)] == [1, 2, 2, 4, 35] and {r[i] for i in range(5, 35)} == {5}
     assert global_rank(d.limit(0), "v").count() == 0
+
+
+def test_best_chain_against_all_orders():
+    from itertools import permutations
+
+    from parchmill.plans.extras import best_chain
+
+    g = np.random.default_rng(5)
+    for n in (1, 2, 3, 6, 7):
+        kind = g.integers(0, max(1, n - 1), n)
+        s = g.integers(0, 10, (n, n)) / 10
+        s = (s + s.T) / 2
+        all_ = [sum(s[kind[a], kind[b]] for a, b in zip(o, o[1:])) for o in permutations(range(n))]
+        for sign, want in ((1, max(all_)), (-1, min(all_))):
+            assert abs(best_chain(s, kind, sign, restarts=12) - want) < 1e-9
+
+
+def test_best_order_takes_whole_leaves(spark):
+    from parchmill.plans import base, extras
+    from tests.conftest import DATA
+
+    d = f"{DATA}/sf0.001"
+    want = {r["folio"]: r["count"] for r in base.lines(spark, d).where("folio IS NOT NULL AND size(words) > 0").groupBy("folio").count().collect()}
+    found = extras.best_order(spark, d).collect()
+    assert {r["folio"]: r["lines"] for r in found} == want and max(want.values()) > 12
+    assert all(r["least"] <= r["observed"] <= r["greatest"] for r in found if r["lines"] > 3)
