@@ -8,7 +8,8 @@ orthogonalises a matrix of vocabulary by rank. Items are cut into queries of 9 w
 and every passage is compared with every query by cosine in the latent space. A passage near a query of an item makes the
 text a candidate for the item; candidates are then decided on the words themselves:
 
-* verbatim: 12 words of the item in a row (all of them if it has fewer) are in the text in a row;
+* verbatim: 12 words of the item in a row (all of them if it has fewer) are in the text in a row; items of fewer than 12 words
+  are also looked up in all texts directly;
 * paraphrase: the longest common subsequence of item and region holds at least ``lcs_share`` of the item's words, and the
   region holds the item's answer, its rarest words.
 
@@ -235,6 +236,13 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, least
     # words, which need least, are few and compared with all passages, the others only with passages of at least QUERY.
     brief = np.array([len(c) < RUN for c in items.codes])[items.query_item]
     groups = [(g, np.flatnonzero(np.diff(items.query_item[g], prepend=-1)), need) for g, need in ((np.flatnonzero(brief), items.need), (np.flatnonzero(~brief), 1 if items.paraphrases else QUERY)) if len(g)]
+    # Items of fewer than RUN words are also looked up as they are: among other words their cosine may be small.
+    short: dict[int, dict[bytes, list[int]]] = {}
+    begins = np.zeros(len(idf) + 1, bool)  # the last place is for code -1
+    for i, c in enumerate(items.codes):
+        if len(c) < RUN:
+            short.setdefault(len(c), {}).setdefault(c.tobytes(), []).append(i)
+            begins[c[0]] = True
     answers = [set(c[np.argsort(-idf[c], kind="stable")][:answer_words].tolist()) for c in items.codes]
 
     def decide(codes: np.ndarray, item: int, starts: list[int]) -> tuple[str, float] | None:
@@ -273,7 +281,9 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, near: float, least
                     hit = (cosine >= near) | ((cosine >= least) & (along >= held * length[g]))
                     for p, k in zip(*np.nonzero(np.logical_or.reduceat(hit, first, axis=1))) if len(rows_) else ():
                         candidates.setdefault((int(number[rows_[p]]), int(items.query_item[g][first[k]])), []).append(int(starts[rows_[p]]))
-            found = [(i, item, *d) for (i, item), at in candidates.items() if (d := decide(texts[i], item, at))]
+            exact = {(i, item) for i, c in enumerate(texts) for s in np.flatnonzero(begins[c]).tolist() for n, of in short.items() for item in of.get(c[s : s + n].tobytes(), ())} if short else set()
+            found = [(*pair, "verbatim", 1.0) for pair in exact]
+            found += [(i, item, *d) for (i, item), at in candidates.items() if (i, item) not in exact and (d := decide(texts[i], item, at))]
             if found:
                 i, item, how, share = zip(*found)
                 yield pa.RecordBatch.from_arrays([b["_key"].take(pa.array(i)), pa.array([items.keys[k] for k in item]), pa.array(how), pa.array(share)], ["_key", "_item", "how", "share"])

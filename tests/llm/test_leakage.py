@@ -99,3 +99,14 @@ def test_sparse_paraphrase_whatever_the_other_items(spark):
     assert found((7, item)) == found((7, item), (8, "grey quire")) == [(1, "paraphrase"), (2, "verbatim")]
     it = spark.createDataFrame([(7, item)], "item LONG, text STRING")
     assert rows(leakage.leaks(df, "doc", "text", it, "item", "text", paraphrases=False).select("doc", "how")) == [(2, "verbatim")]
+
+
+def test_very_short_items_among_other_vocabulary_words(spark):
+    g = random.Random(9)
+    names = [f"v{i}" for i in range(300)]
+    items = ["v3", "v4 v5"] + [" ".join(g.sample(names, 30)) for _ in range(12)]
+    docs = [" ".join(g.sample(names, 60)) for _ in range(40)]
+    docs += [" ".join([*g.sample(names, 20), "v4", "v5", *g.sample(names, 20)]) for _ in range(20)]
+    df, it = spark.createDataFrame(list(enumerate(docs)), "doc LONG, text STRING"), spark.createDataFrame(list(enumerate(items)), "item LONG, text STRING")
+    want = sorted(((d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if contains(doc, item)), key=repr)
+    assert rows(leakage.leaks(df, "doc", "text", it, "item", "text", paraphrases=False).select("doc", "item")) == want and len(want) > 20
