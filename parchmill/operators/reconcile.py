@@ -8,8 +8,10 @@ that fail get twice the bound, until all are verified. Then both copies evaluate
 the roots are the differing rows, which alone are fetched and compared field by field.
 
 What is shuffled: the rows once each for picking the standing version of a key (combined before the shuffle, so a key
-that holds a third of all rows is no hot task), sketches of some eight numbers per bucket of about 32 rows, and the rows
-once by bucket to meet the polynomials. Nothing grows on the driver; only the number of open buckets is counted there.
+that holds a third of all rows is no hot task), sketches of some eight numbers per bucket of about 32 rows, and bucket, side
+and element of the rows, without keys and fields, to meet the polynomials. Keys and fields are fetched for the roots: a bitmap
+of ``BITS`` bits of the roots' elements, of the same size whatever their number, lets pass the rows that may be among them, and
+only these are shuffled to meet the roots. Nothing grows on the driver; only the number of open buckets is counted there.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from parchmill.session import materialize
 
 P = (1 << 61) - 1
 SPARE = 2
+#: Bits of the map that rows pass before they are fetched: 1 MB. With more roots than bits it passes most rows, and only costs more.
+BITS = 1 << 23
 _U = np.uint64
 
 
@@ -63,71 +67,6 @@ def segment_product(ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np
         ids, values = ids[at], kept
 
 
-def _polymul(a: list[int], b: list[int]) -> list[int]:
-    out = [0] * (len(a) + len(b) - 1)
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            out[i + j] = (out[i + j] + x * y) % P
-    return out
-
-
-def _trim(a: list[int]) -> list[int]:
-    while a and not a[-1]:
-        a.pop()
-    return a
-
-
-def _divmod(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    a, q, inv = a[:], [0] * max(0, len(a) - len(b) + 1), pow(b[-1], P - 2, P)
-    for k in range(len(a) - len(b), -1, -1):
-        if c := a[k + len(b) - 1] * inv % P:
-            q[k] = c
-            for i, y in enumerate(b):
-                a[k + i] = (a[k + i] - c * y) % P
-    return q, _trim(a[: len(b) - 1])
-
-
-def lagrange(zs: list[int]) -> tuple[list[int], np.ndarray]:
-    """prod(z - z_j), and the coefficients of the Lagrange basis, a row for each point."""
-    whole = [1]
-    for z in zs:
-        whole = _polymul(whole, [P - z, 1])
-    rows = []
-    for z in zs:
-        q, _ = _divmod(whole, [P - z, 1])
-        at = 0
-        for c in reversed(q):
-            at = (at * z + c) % P
-        inv = pow(at, P - 2, P)
-        rows.append([c * inv % P for c in q])
-    return whole, np.array(rows, dtype=np.uint64)
-
-
-def rational(whole: list[int], f: list[int], delta: int) -> tuple[list[int], list[int]] | None:
-    """Monic p, q with p = q f modulo ``whole`` and deg p - deg q = delta, by Euclid's algorithm; None if there are none."""
-    m = len(whole) - 1
-    r0, r1, t0, t1 = whole, _trim(f[:]), [], [1]
-    most = (m - 1 + delta) // 2
-    if abs(delta) >= m:
-        return None  # more rows differ than the bound allows
-    while r1 and len(r1) - 1 > most:
-        q, r = _divmod(r0, r1)
-        qt = _polymul(q, t1)
-        t = [((t0[i] if i < len(t0) else 0) - (qt[i] if i < len(qt) else 0)) % P for i in range(max(len(t0), len(qt)))]
-        r0, r1, t0, t1 = r1, r, t1, _trim(t)
-    if not r1 or not t1 or len(r1) - len(t1) != delta or r1[-1] != t1[-1]:
-        return None
-    inv = pow(r1[-1], P - 2, P)
-    return [c * inv % P for c in r1], [c * inv % P for c in t1]
-
-
-def _horner(coefs: list[int], z: int) -> int:
-    at = 0
-    for c in reversed(coefs):
-        at = (at * z + c) % P
-    return at
-
-
 def _inverse(values: np.ndarray) -> np.ndarray:
     """Inverses of all entries by raising to p - 2."""
     out, base, e = np.ones_like(values), values, P - 2
@@ -165,10 +104,86 @@ def _sketcher(m: int, flush: int = 1 << 17):
     return run
 
 
-def _decoder(m: int):
-    spare = m - SPARE
+def _minus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a >= b, a - b, a + (_U(P) - b))
+
+
+def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(a + b >= _U(P), a + b - _U(P), a + b)
+
+
+def lagrange(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients, lowest first, of prod(z - z_j) over the first m points, and of the Lagrange basis, a row for each point."""
     zs = [int(z) for z in points(m)]
-    whole, basis = lagrange(zs[:spare])
+    whole = [1]
+    for z in zs:
+        whole = [((whole[i - 1] if i else 0) - z * (whole[i] if i < len(whole) else 0)) % P for i in range(len(whole) + 1)]
+    rows = []
+    for z in zs:
+        quotient, carry = [0] * m, 0
+        for i in range(m, 0, -1):
+            quotient[i - 1] = carry = (whole[i] + carry * z) % P
+        at = 0
+        for c in reversed(quotient):
+            at = (at * z + c) % P
+        inverse = pow(at, P - 2, P)
+        rows.append([c * inverse % P for c in quotient])
+    return np.array(whole, np.uint64), np.array(rows, np.uint64).reshape(m, m)
+
+
+def _degree(a: np.ndarray) -> np.ndarray:
+    """The place of the last coefficient that isn't 0 in each row, -1 if all are."""
+    return np.where((a != 0).any(axis=1), a.shape[1] - 1 - (a[:, ::-1] != 0).argmax(axis=1), -1)
+
+
+def _horner(a: np.ndarray, z: np.uint64) -> np.ndarray:
+    at = np.zeros(len(a), np.uint64)
+    for i in range(a.shape[1] - 1, -1, -1):
+        at = _plus(mulmod(at, np.full(len(a), z)), a[:, i])
+    return at
+
+
+def rational(f: np.ndarray, delta: int, basis: tuple[np.ndarray, np.ndarray]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """Monic p and q with p = q f at all points, deg p - deg q = delta, for each row of ``f`` (values at ``points``); None if there are none.
+
+    ``basis`` is ``lagrange`` of all points but SPARE; both degrees together are below their number. Euclid's algorithm on the interpolated f,
+    one step of the division at a time for all rows at once; the spare points then decide.
+    """
+    k, m = f.shape
+    s = m - SPARE
+    if abs(delta) >= s + (s == 0):
+        return [None] * k  # more rows differ than the bound allows
+    whole, base = basis
+    value = np.zeros((k, s + 1), np.uint64)
+    for j in range(s):
+        value[:, :s] = _plus(value[:, :s], mulmod(np.repeat(f[:, j, None], s, axis=1), np.repeat(base[j][None], k, axis=0)))
+    r = [np.repeat(whole[None], k, axis=0), value]
+    t = [np.zeros((k, s + 1), np.uint64), np.zeros((k, s + 1), np.uint64)]
+    t[1][:, 0] = 1
+    most = (s - 1 + delta) // 2
+    while len(at := np.flatnonzero(_degree(r[1]) > most)):
+        high, low = _degree(r[0][at]), _degree(r[1][at])
+        shift = np.arange(s + 1)[None] - (high - low)[:, None]
+        over, under = (np.repeat(x[at, d][:, None], s + 1, axis=1) for x, d in ((r[1], low), (r[0], high)))
+        for x in (r, t):
+            moved = np.where(shift >= 0, np.take_along_axis(x[1][at], np.maximum(shift, 0), axis=1), _U(0))
+            x[0][at] = _minus(mulmod(over, x[0][at]), mulmod(under, moved))
+        swap = at[_degree(r[0][at]) < low]
+        for x in (r, t):
+            x[0][swap], x[1][swap] = x[1][swap], x[0][swap]
+    p, q = r[1], t[1]
+    dp, dq, each = _degree(p), _degree(q), np.arange(k)
+    fine = (dp >= 0) & (dp - dq == delta) & (p[each, dp] == q[each, dq])
+    inverse = np.repeat(_inverse(p[each, dp])[:, None], s + 1, axis=1)
+    p, q = mulmod(p, inverse), mulmod(q, inverse)
+    for j in range(s, m):
+        z = points(m)[j]
+        fine &= _horner(p, z) == mulmod(_horner(q, z), f[:, j].copy())
+    return [(p[i, : dp[i] + 1], q[i, : dq[i] + 1]) if fine[i] else None for i in range(k)]
+
+
+def _decoder(m: int):
+    basis = lagrange(m - SPARE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(b["bucket"].to_numpy(), b["side"].to_numpy(), b["n"].to_numpy(), b["values"].flatten().to_numpy().astype(np.uint64).reshape(-1, m)) for b in batches if len(b)]
@@ -184,22 +199,16 @@ def _decoder(m: int):
                 chi[s, at] = prod
                 np.add.at(count[s], inverse[of], n[of])
         differs = (chi[0] != chi[1]).any(axis=1) | (count[0] != count[1])
-        ids, chi, count = ids[differs], chi[:, differs], count[:, differs]
+        ids, chi, delta = ids[differs], chi[:, differs], (count[0] - count[1])[differs]
         f = mulmod(chi[0], _inverse(chi[1]))
-        coefs = np.zeros((len(ids), spare), np.uint64)
-        for j in range(spare):
-            coefs += mulmod(np.broadcast_to(f[:, j : j + 1], coefs.shape), np.broadcast_to(basis[j], coefs.shape))
-            coefs = np.where(coefs >= _U(P), coefs - _U(P), coefs)
-        out: dict[str, list] = {"bucket": [], "found": [], "p": [], "q": []}
-        for k in range(len(ids)):
-            pq = rational(whole, [int(c) for c in coefs[k]], int(count[0, k] - count[1, k]))
-            if pq and any(_horner(pq[0], zs[j]) != int(f[k, j]) * _horner(pq[1], zs[j]) % P for j in range(spare, m)):
-                pq = None
-            out["bucket"].append(int(ids[k]))
-            out["found"].append(pq is not None)
-            out["p"].append(pq[0] if pq else [])
-            out["q"].append(pq[1] if pq else [])
-        yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("found", pa.bool_()), ("p", pa.list_(pa.int64())), ("q", pa.list_(pa.int64()))]))
+        found: list = [None] * len(ids)
+        for d in np.unique(delta).tolist():
+            of = np.flatnonzero(delta == d)
+            for part in np.array_split(of, -(-len(of) * m * m // (1 << 19))):
+                for i, pq in zip(part.tolist(), rational(f[part], d, basis)):
+                    found[i] = pq
+        lists = [pa.array([pq[k].astype(np.int64) if pq else [] for pq in found], pa.list_(pa.int64())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([pq is not None for pq in found], pa.bool_()), *lists], ["bucket", "found", "p", "q"])
 
     return run
 
@@ -222,6 +231,22 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield keep.drop_columns(["coefs"])
 
 
+def _may_be(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows whose h shares its bit with an h of ``roots``."""
+    place = F.col("h").bitwiseAND(F.lit(BITS - 1))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(F.lit(63)).cast("int")
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(BITS // 64, np.int64)
+        for b in batches:
+            words[b["w"].to_numpy()] = b["bits"].to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array([words], pa.list_(pa.int64()))], ["_words"])
+
+    of = roots.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    one = materialize(of.coalesce(1).mapInArrow(dense, "_words array<long>"), "bitmap")
+    return rows.join(F.broadcast(one), F.getbit(F.get("_words", word.cast("int")), bit) == 1, "left_semi")  # a single row
+
+
 def standing(df: DataFrame, keys: dict[str, Column], fields: dict[str, Column], version: Column) -> DataFrame:
     """One row per key: of all deliveries the one with the latest version; ties go to the greatest field values.
 
@@ -262,9 +287,9 @@ def differences(first: DataFrame, second: DataFrame, keys: dict[str, Column], fi
         open_rows = rows.select("bucket", "side", "h").join(decoded.filter("not found").select("bucket"), "bucket", "left_semi")
         m *= 2
     coefs = F.when(F.col("side") == 0, F.col("p")).otherwise(F.col("q")).alias("coefs")
-    candidates = rows.join(solved, "bucket").select("side", "h", *ks, *fs, coefs)
-    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema if f.name != "coefs")
-    differing = candidates.mapInArrow(_roots, out)
+    candidates = rows.select("bucket", "side", "h").join(solved, "bucket").select("bucket", "side", "h", coefs)
+    roots = materialize(candidates.mapInArrow(_roots, "bucket long, side int, h long"), "roots")
+    differing = _may_be(rows, roots).join(roots, ["bucket", "side", "h"], "left_semi")
     sides = differing.groupBy(*ks).agg(*[F.max(F.when(F.col("side") == s, F.struct(*fs))).alias(f"_s{s}") for s in (0, 1)])
     a, b = F.col("_s0"), F.col("_s1")
     named = [F.when(a.isNotNull() & b.isNotNull() & ~a[f].eqNullSafe(b[f]), name) for f, name in zip(fs, fields)]
