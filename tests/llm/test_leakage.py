@@ -77,7 +77,7 @@ def test_verbatim_equals_brute_force(spark):
     out = leakage.leaks(df, "doc", "text", it, "item", "text")
     want = sorted(((d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if contains(doc, item)), key=repr)
     assert rows(out.where("how = 'verbatim'").select("doc", "item")) == want and len(want) > 40
-    assert rows(leakage.leaks(df, "doc", "text", it, "item", "text", block=7).where("how = 'verbatim'").select("doc", "item")) == want
+    assert rows(leakage.leaks(df, "doc", "text", it, "item", "text", block=7, vocabulary=40).where("how = 'verbatim'").select("doc", "item")) == want
     assert leakage.leaks(df.limit(0), "doc", "text", it, "item", "text").count() == 0
     assert leakage.leaks(df, "doc", "text", it.limit(0), "item", "text").count() == 0
 
@@ -110,3 +110,67 @@ def test_very_short_items_among_other_vocabulary_words(spark):
     df, it = spark.createDataFrame(list(enumerate(docs)), "doc LONG, text STRING"), spark.createDataFrame(list(enumerate(items)), "item LONG, text STRING")
     want = sorted(((d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if contains(doc, item)), key=repr)
     assert rows(leakage.leaks(df, "doc", "text", it, "item", "text", paraphrases=False).select("doc", "item")) == want and len(want) > 20
+
+
+def _sentences(g, names):
+    forms = ["according to the {} register the volume held {} leaves before {} forged a grammar of invented letters", "the price was {} coins and one mule paid by {} at an attic above the dye works of {}", "when {} asked for the cipher {} offered only seven star charts and left for the ruined {}", "in the {} hand the sign for {} is drawn as a hook above a box of {} slips", "nobody in {} could read the third line yet {} swore that it named {}"]
+    return " ".join(g.choice(forms).format(*g.sample(names, 3)) for _ in range(g.choice([2, 3, 4])))
+
+
+def _reworded(g, item, names):
+    """A fifth of the other words replaced or left out, some put in; the names stay."""
+    out = []
+    for w in item.split():
+        if w in names or g.random() > 0.2:
+            out.append(w)
+        elif g.random() < 0.6:
+            out.append(g.choice(["that", "his", "old", "grey", "such"]))
+        if g.random() < 0.08:
+            out.append(g.choice(["indeed", "so", "then"]))
+    return " ".join(out)
+
+
+def test_recall_of_planted_paraphrases_and_of_the_index(spark):
+    g = random.Random(12)
+    names = [a + b + c for a in ("ned", "thu", "ram", "lis", "cor", "bel") for b in ("dra", "wex", "im", "os") for c in ("ur", "eth", "an", "il")]
+    items = [_sentences(g, names) for _ in range(150)]
+    docs = [_sentences(g, names) for _ in range(300)]
+    planted = set()
+    for k, item in enumerate(items):
+        docs.append(" ".join([_sentences(g, names), _reworded(g, item, names), _sentences(g, names)]))
+        planted.add((len(docs) - 1, k))
+    df, it = spark.createDataFrame(list(enumerate(docs)), "doc LONG, text STRING"), spark.createDataFrame(list(enumerate(items)), "item LONG, text STRING")
+    found = leakage.leaks(df, "doc", "text", it, "item", "text")
+    whole = set(map(tuple, rows(found.select("doc", "item"))))
+    every = set(map(tuple, rows(leakage.leaks(df, "doc", "text", it, "item", "text", probes=1 << 20).select("doc", "item"))))
+    assert len(planted & whole) >= 0.9 * len(planted)
+    assert len(whole & every) >= 0.97 * len(every) and whole <= every
+
+
+def test_other_items_change_nothing(spark):
+    g = random.Random(5)
+    names = [f"{a}{b}" for a in ("ned", "thu", "ram", "lis") for b in ("ur", "eth", "an", "il", "os")]
+    a, b = [_sentences(g, names) for _ in range(10)], [_sentences(g, names) for _ in range(10)] + ["grey quire", "one"]
+    docs = [_sentences(g, names) for _ in range(60)] + [_reworded(g, x, names) for x in a + b[:10]]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc LONG, text STRING")
+    found = lambda items: {tuple(r) for r in rows(leakage.leaks(df, "doc", "text", spark.createDataFrame(items, "item LONG, text STRING"), "item", "text").where("item < 100").select("doc", "item", "how"))}
+    own = list(enumerate(a))
+    assert found(own) == found(own + [(100 + k, t) for k, t in enumerate(b)]) and len(found(own)) >= 10
+
+
+def test_gate_of_paraphrases_holds_for_any_region():
+    g = np.random.default_rng(2)
+    for n in (1, 2, 5, 11, 12, 13, 24, 60, 200):
+        gate, region = leakage.paraphrase_gate(n, 0.7), n * 3 // 2 // 4 + max(leakage.WIDTH, n * 3 // 2)
+        for _ in range(20):
+            codes = np.full(region, -1, np.int32)
+            codes[g.permutation(region)[: int(np.ceil(0.7 * n))]] = 1
+            text = np.concatenate([np.full(g.integers(0, 9), -1, np.int32), codes])
+            assert len(leakage._passages(text, gate)[0])
+
+
+def test_lists_of_the_inverted_file_are_a_partition():
+    q = np.random.default_rng(1).standard_normal((500, 8)).astype(np.float32)
+    q /= np.linalg.norm(q, axis=1, keepdims=True)
+    centres, lists = leakage.inverted_file(q)
+    assert sorted(np.concatenate(lists).tolist()) == list(range(500)) and len(centres) == len(lists)
