@@ -11,13 +11,17 @@ The minimum of a window prefers fingerprints with few heavy terms, then the smal
 guarantee, and this one leaves fingerprints of heavy terms only where three of them stand together.
 
 Records with the same terms are one class. Seeds are joined between classes of different splits under the length and
-position limits that the similarity allows; the seeds of a pair are in the same order in both records (canonical order
-is strict), so their chain is all of them; pairs are extended by aligning both sequences, which for strictly ordered
-sequences is their intersection, and verified on the terms themselves.
+position limits that the similarity allows; lengths of a pair differ by a third at most, so the join goes by fingerprint and
+band of length, which splits the fingerprints that very many records hold. The seeds of a pair are chained (the longest
+rising sequence of places in both), each seed of the chain is extended to both sides as long as the terms agree, and what lies
+between the stretches is aligned; the terms so covered are what both records share. ``coverage`` gives the best covered share
+of every record.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,6 +63,68 @@ def _winnower(heavy: np.ndarray):
     return run
 
 
+def chain(seeds: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest sequence of seeds that rises in both places."""
+    ends: list[int] = []
+    at: list[int] = []
+    before: list[int] = []
+    seeds = sorted(set(seeds), key=lambda s: (s[0], -s[1]))
+    for k, (_, r) in enumerate(seeds):
+        i = bisect_left(ends, r)
+        before.append(at[i - 1] if i else -1)
+        ends[i:] = [r, *ends[i + 1 :]]
+        at[i:] = [k, *at[i + 1 :]]
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(seeds[k])
+        k = before[k]
+    return out[::-1]
+
+
+def extended(left: list[int], right: list[int], chained: list[tuple[int, int]]) -> tuple[int, int]:
+    """(terms aligned, stretches of consecutive ones) of two sequences in canonical order along a chain of two-term seeds.
+
+    From each seed the stretch grows to both sides while the terms agree; the gaps before, between and behind the stretches
+    are aligned for themselves.
+    """
+    shared = stretches = i = j = 0
+
+    def gap(x: int, y: int) -> None:
+        nonlocal shared, stretches
+        place = {t: k for k, t in enumerate(right[j:y], j)}
+        last, before = j - 1, (-2, -2)
+        for k in range(i, x):
+            at = place.get(left[k], -1)
+            if at > last:
+                shared, last = shared + 1, at
+                stretches += (k - 1, at - 1) != before
+                before = (k, at)
+
+    for x, y in chained:
+        if x < i or y < j:
+            continue  # within the stretch before
+        a, b = x, y
+        while a > i and b > j and left[a - 1] == right[b - 1]:
+            a, b = a - 1, b - 1
+        gap(a, b)
+        i, j = x, y
+        while i < len(left) and j < len(right) and left[i] == right[j]:
+            i, j = i + 1, j + 1
+        shared, stretches = shared + i - a, stretches + 1
+    gap(len(left), len(right))
+    return shared, stretches
+
+
+def _aligner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for seeds, left, right in zip(b["seeds"].to_pylist(), b["ls"].to_pylist(), b["rs"].to_pylist()):
+            chained = chain([(s["lp"], s["rp"]) for s in seeds])
+            rows.append((*extended(left, right, chained), len(left), len(right), len(chained)))
+        shared, stretches, ln, rn, n = zip(*rows) if rows else ((),) * 5
+        yield pa.RecordBatch.from_arrays([b["left_class"], b["right_class"], pa.array(shared, pa.int32()), pa.array(ln, pa.int32()), pa.array(rn, pa.int32()), pa.array(n, pa.int64()), pa.array(stretches, pa.int32())], ["left_class", "right_class", "shared", "left_n", "right_n", "seeds", "stretches"])
+
+
 def classes(df: DataFrame, key: str, tokens: str, side: Column, keep: dict[str, Column], min_terms: int) -> tuple[DataFrame, DataFrame]:
     """(members: class, key, side, *keep; classes: class, seq, n, left, right) of records with at least ``min_terms`` terms.
 
@@ -76,23 +142,30 @@ def classes(df: DataFrame, key: str, tokens: str, side: Column, keep: dict[str,
 
 
 def similar_classes(groups: DataFrame) -> DataFrame:
-    """(left_class, right_class, shared, left_n, right_n, seeds) of classes on different sides, Jaccard at least 3/4."""
+    """(left_class, right_class, shared, left_n, right_n, seeds, stretches) of classes on different sides, Jaccard at least 3/4.
+
+    ``seeds``: length of the chain; ``stretches``: runs of consecutive terms that make up what is shared. Classes with records
+    on both sides are linked with themselves, without seeds.
+    """
     counts = groups.select(F.explode("seq").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     n = groups.count()
     heavy = [r["h"] for r in counts.where(F.col("df") > HEAVY_SHARE * n).orderBy(F.desc("df"), "term").limit(HEAVY).select(F.xxhash64("term").alias("h")).collect()]
     hashed = groups.select("class", "n", "left", "right", F.transform("seq", lambda t: F.xxhash64(t)).alias("hashes"))
     kind = dict(groups.dtypes)["class"]
     seeds = materialize(hashed.mapInArrow(_winnower(np.array(heavy, np.int64)), f"class {kind}, n int, left boolean, right boolean, fp long, pos int"), "seeds")
-    a = seeds.where("left").select("fp", F.col("class").alias("left_class"), F.col("n").alias("ln"), F.col("pos").alias("lp"))
-    b = seeds.where("right").select("fp", F.col("class").alias("right_class"), F.col("n").alias("rn"), F.col("pos").alias("rp"))
+    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(4 / 3)) + 1e-9).cast("int")
+    a = seeds.where("left").select("fp", band.alias("band"), F.col("class").alias("left_class"), F.col("n").alias("ln"), F.col("pos").alias("lp"))
+    # Lengths within 4/3 of each other lie in the same band or in neighbouring ones.
+    b = seeds.where("right").select("fp", F.explode(F.array(band - 1, band, band + 1)).alias("band"), F.col("class").alias("right_class"), F.col("n").alias("rn"), F.col("pos").alias("rp"))
     fits = (F.col("left_class") != F.col("right_class")) & (4 * F.least("ln", "rn") >= 3 * F.greatest("ln", "rn"))
     room = F.least("lp", "rp") + F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp"))
-    pairs = a.join(b, "fp").where(fits & (7 * room >= 3 * (F.col("ln") + F.col("rn")))).groupBy("left_class", "right_class").agg(F.count("*").alias("seeds"))
-    seqs = groups.select("class", "seq", "n")
-    aligned = pairs.join(seqs.select(F.col("class").alias("left_class"), F.col("seq").alias("ls"), F.col("n").alias("left_n")), "left_class").join(seqs.select(F.col("class").alias("right_class"), F.col("seq").alias("rs"), F.col("n").alias("right_n")), "right_class")
-    aligned = aligned.withColumn("shared", F.size(F.array_intersect("ls", "rs"))).where("7 * shared >= 3 * (left_n + right_n)")
-    same = groups.where("left AND right").select(F.col("class").alias("left_class"), F.col("class").alias("right_class"), F.col("n").alias("shared"), F.col("n").alias("left_n"), F.col("n").alias("right_n"), F.lit(None).cast("long").alias("seeds"))
-    return aligned.select("left_class", "right_class", "shared", "left_n", "right_n", "seeds").unionByName(same)
+    pairs = a.join(b, ["fp", "band"]).where(fits & (7 * room >= 3 * (F.col("ln") + F.col("rn")))).groupBy("left_class", "right_class").agg(F.collect_list(F.struct("lp", "rp")).alias("seeds"))
+    seqs = groups.select("class", F.transform("seq", lambda t: F.xxhash64(t)).alias("seq"))
+    both = pairs.join(seqs.select(F.col("class").alias("left_class"), F.col("seq").alias("ls")), "left_class").join(seqs.select(F.col("class").alias("right_class"), F.col("seq").alias("rs")), "right_class")
+    out = f"left_class {kind}, right_class {kind}, shared int, left_n int, right_n int, seeds long, stretches int"
+    aligned = both.mapInArrow(_aligner, out).where("7 * shared >= 3 * (left_n + right_n)")
+    same = groups.where("left AND right").select(F.col("class").alias("left_class"), F.col("class").alias("right_class"), F.col("n").alias("shared"), F.col("n").alias("left_n"), F.col("n").alias("right_n"), F.lit(None).cast("long").alias("seeds"), F.lit(1).alias("stretches"))
+    return aligned.unionByName(same)
 
 
 def cross_split_overlaps(df: DataFrame, key: str, tokens: str, side: Column, keep: dict[str, Column] | None = None, min_terms: int = 8) -> tuple[DataFrame, DataFrame]:
@@ -115,3 +188,9 @@ def expand(links: DataFrame, members: DataFrame, key: str) -> DataFrame:
     a = members.where("side").select(F.col("class").alias("left_class"), F.col(key).alias("left_key"))
     b = members.where("NOT side").select(F.col("class").alias("right_class"), F.col(key).alias("right_key"))
     return links.join(a, "left_class").join(b, "right_class").select("left_key", "right_key", "shared", "left_n", "right_n")
+
+
+def coverage(links: DataFrame, members: DataFrame, keep: list[str]) -> DataFrame:
+    """Evaluation records with the greatest share of their terms that one training record covers (null: none overlaps), and how many classes overlap."""
+    best = links.groupBy(F.col("right_class").alias("class")).agg(F.max(F.col("shared") / F.col("right_n")).alias("coverage"), F.count("*").alias("links"))
+    return members.where("NOT side").join(best, "class", "left").select(*keep, "class", "coverage", F.coalesce("links", F.lit(0).cast("long")).alias("links"))

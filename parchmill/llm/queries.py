@@ -61,12 +61,16 @@ def cross_split_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.least("left_key", "right_key").alias("line_id_a"), F.greatest("left_key", "right_key").alias("line_id_b"))
 
 
+def overlap_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each evaluation line with the share of its terms that a training line covers at best."""
+    links, members = _overlaps(spark, sf_dir)
+    return overlap.coverage(links, members, ["line_id", "split", "source_file"]).select("line_id", "split", "source_file", F.round("coverage", 6).alias("coverage"))
+
+
 def overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evaluation lines per split and source that a training line covers, with the mean share of their terms it has at best."""
-    links, members = _overlaps(spark, sf_dir)
-    best = links.groupBy(F.col("right_class").alias("class")).agg(F.max(F.col("shared") / F.col("right_n")).alias("coverage"), F.count("*").alias("classes"))
-    of = members.where("NOT side").join(best, "class", "left").groupBy("split", "source_file")
-    return of.agg(F.count("*").alias("lines"), F.count("coverage").alias("overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    each = overlap.coverage(*_overlaps(spark, sf_dir), ["split", "source_file"])
+    return each.groupBy("split", "source_file").agg(F.count("*").alias("lines"), F.count("coverage").alias("overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
 
 
 def similar_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -158,6 +162,7 @@ QUERIES = {
     "p3_counts": term_counts,
     "p5_found": cross_split_pairs,
     "p5_report": overlap_report,
+    "p5_coverage": overlap_coverage,
     "p6_found": similar_pages,
     "p6_classes": similar_page_classes,
     "p6_adjacent": adjacent_overlap,
@@ -217,6 +222,8 @@ SELECT line_id FROM g WHERE component IN (SELECT component FROM g GROUP BY compo
     "p5_report": f"""{_PAIRS}, c AS (SELECT b, max(i / nb) AS coverage FROM p WHERE 7 * i >= 3 * (na + nb) GROUP BY b)
 SELECT split, source_file, count(*) AS lines, count(coverage) AS overlapping, round(avg(coverage), 6) AS mean_coverage
 FROM k LEFT JOIN c ON c.b = k.line_id WHERE split <> 'discovery' GROUP BY split, source_file""",
+    "p5_coverage": f"""{_PAIRS}, c AS (SELECT b, max(i / nb) AS coverage FROM p WHERE 7 * i >= 3 * (na + nb) GROUP BY b)
+SELECT line_id, split, source_file, round(coverage, 6) AS coverage FROM k LEFT JOIN c ON c.b = k.line_id WHERE split <> 'discovery'""",
     "p6_found": f"""
 WITH l AS (SELECT lop_id, max(tokens) AS tokens FROM local_order_pages GROUP BY lop_id),
 s AS (SELECT lop_id, list_distinct({_TERMS}) AS terms FROM l)

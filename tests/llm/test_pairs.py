@@ -68,6 +68,23 @@ def test_similar_sequences_share_a_fingerprint(common, data):
     assert one & two
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.sets(st.integers(0, 60), max_size=40), st.sets(st.integers(0, 60), max_size=40))
+def test_chain_and_extension_cover_what_is_shared(a, b):
+    a, b = sorted(a), sorted(b)
+    seeds = [(i, j) for i in range(len(a) - 1) for j in range(len(b) - 1) if a[i : i + 2] == b[j : j + 2]]
+    chained = overlap.chain(seeds[::-1])
+    assert all(x < u and y < v for (x, y), (u, v) in zip(chained, chained[1:])) and len(chained) == len(seeds)
+    shared, stretches = overlap.extended(a, b, chained)
+    assert shared == len(set(a) & set(b)) and (stretches > 0) == (shared > 0)
+    assert overlap.extended(a, b, chained[::2])[0] == shared
+
+
+def test_chain_is_a_longest_rising_one():
+    assert len(overlap.chain([(0, 5), (1, 0), (2, 1), (3, 9), (4, 2), (4, 3)])) == 3
+    assert overlap.chain([]) == []
+
+
 def test_set_join_equals_all_pairs(spark):
     g = random.Random(5)
     pages = [[f"w{int(g.paretovariate(0.6)) % 3000}" for _ in range(g.randrange(1, 60))] for _ in range(150)]
