@@ -10,7 +10,9 @@ the text's majority label. Two models, each trained on half of the texts, then j
 gets the class that is likeliest by their judgement and by the labels of all the texts that hold it; a last model is
 trained on all. The scores of the three are averaged, which evens out what each learnt by chance. Embeddings and softmax are trained jointly (Adagrad). A passage that n texts hold weighs sqrt(n), 10 at most.
 
-The model is trained on at most ``max_labelled`` labelled texts, the first in hash order; everything else covers all rows.
+The model is trained on at most ``max_labelled`` labelled texts of at most ``max_total`` bytes together, the first in hash order;
+everything else covers all rows. The halves are trained in two tasks at a time and the last model in one, so the driver holds
+only the bounded sample and the models' tables.
 """
 
 from __future__ import annotations
@@ -21,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parchmill.llm.words import text_of
+from parchmill.session import materialize
 
 CLASSES = ("none", "abuse", "hate", "sexual")
 #: Letters of other scripts that look like Latin ones, after lower-casing.
@@ -34,7 +37,8 @@ LOOKALIKES = str.maketrans(
 )
 _ZERO_WIDTH = re.compile("[­​-‏⁠﻿]")
 _MARKS = re.compile("[̀-ͯ]")
-_TAG = re.compile(r"<[^<>]{0,200}>")
+#: A tag of any length if it is made of attributes with values, else whatever stands between < and > on up to 200 characters.
+_TAG = re.compile(r"""<[^<>]{0,200}>|<[/!?]?[a-zA-Z][\w:-]*(?:\s+[\w:-]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))*\s*/?>""")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W\d_][ .\-_]){3,}[^\W\d_](?![^\W_])")
 _LEET = re.compile(r"(?<![^\W_])(?=[a-z]*[013457@$])(?=[013457@$]*[a-z])[a-z013457@$]{4,}(?![^\W_])")
 _LEET_OF = str.maketrans("013457@$", "oieastas")
@@ -123,6 +127,19 @@ def bags(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(features), np.concatenate(numbers)
 
 
+def _features(texts: list[str], size: int, characters: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """(features of all passages, one passage after another; their number in each), made from about ``characters`` at a time."""
+    parts, counts, begin, held = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], 0, 0
+    for i, t in enumerate(texts):
+        held += len(t)
+        if held >= characters or i == len(texts) - 1:
+            feature, number = bags(texts[begin : i + 1], size)
+            parts.append(feature[np.argsort(number, kind="stable")])
+            counts.append(np.bincount(number, minlength=i + 1 - begin))
+            begin, held = i + 1, 0
+    return np.concatenate(parts), np.concatenate(counts)
+
+
 class Model:
     """Embeddings (size x dim) and softmax weights (dim x classes)."""
 
@@ -139,17 +156,16 @@ class Model:
         """Each feature's share in the scores; with the bias, all that scoring needs."""
         return self.shares if self.shares is not None else (self.e @ self.w).astype(np.float32)
 
-    def averaged(self, others: list[Model]) -> Model:
-        """This model with the mean scores of itself and others: scores are linear in the tables, so these are averaged."""
-        self.shares = np.mean([self.table(), *[o.table() for o in others]], axis=0, dtype=np.float32)
-        self.b = np.mean([self.b, *[o.b for o in others]], axis=0)
-        return self
+    @classmethod
+    def averaged(cls, fitted: list[tuple[np.ndarray, np.ndarray]]) -> Model:
+        """A model with the mean scores of (table, bias) pairs: scores are linear in the tables, so these are averaged."""
+        out = object.__new__(cls)
+        out.shares = np.mean([t for t, _ in fitted], axis=0, dtype=np.float32)
+        out.b = np.mean([b for _, b in fitted], axis=0)
+        return out
 
     def fit(self, texts: list[str], target: np.ndarray, weight: np.ndarray, epochs: int = 4, updates: int = 2000, rate: float = 0.5, batch: int = 64, seed: int = 1) -> None:
-        feature, number = bags(texts, self.size)
-        n = np.bincount(number, minlength=len(texts))
-        feature = feature[np.argsort(number, kind="stable")]
-        del number
+        feature, n = _features(texts, self.size)
         first = np.concatenate([[0], np.cumsum(n)])
         ge, gw, gb = np.full(self.size, 1e-4, np.float32), np.full_like(self.w, 1e-4), np.full_like(self.b, 1e-4)
         g = np.random.default_rng(seed)
@@ -190,11 +206,42 @@ def probabilities(table: np.ndarray, bias: np.ndarray, texts: list[str]) -> np.n
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, updates: int = 800, final_epochs: int = 10, honest: float = 0.75, trust: float = 0.2, least: float = 0.6, allowed: float = 0.005, **model) -> Model:
+def _fit(texts: list[str], job: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, bias, probabilities of the passages to judge) of a model fitted to some of the passages."""
+    m, rows = Model(**job["model"]), job["rows"]
+    m.fit([texts[i] for i in rows], job["target"][rows], job["weight"][rows], job["epochs"], job["updates"])
+    return m.table(), m.b, probabilities(m.table(), m.b, [texts[i] for i in job["judge"]])
+
+
+def _here(texts: list[str], jobs: list[dict]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return [_fit(texts, j) for j in jobs]
+
+
+def _in_tasks(spark: SparkSession):
+    """Fits each job in a task of its own; what goes there and comes back is bounded by the sample and the table."""
+
+    def run(texts: list[str], jobs: list[dict]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for k in b["id"].to_pylist():
+                    parts = [np.asarray(x, np.float32).ravel() for x in _fit(texts, jobs[k])]
+                    yield pa.RecordBatch.from_arrays([pa.array([k]), *[pa.array([x], pa.list_(pa.float32())) for x in parts]], ["id", "share", "bias", "judged"])
+
+        out: list = [None] * len(jobs)
+        for r in spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(fit, "id long, share array<float>, bias array<float>, judged array<float>").toArrow().to_batches():
+            for i in range(len(r)):
+                out[r["id"][i].as_py()] = tuple(r[c][i].values.to_numpy().astype(np.float32 if c == "share" else np.float64) for c in ("share", "bias", "judged"))
+        return [(t.reshape(-1, len(CLASSES)), b, q.reshape(-1, len(CLASSES))) for t, b, q in out]
+
+    return run
+
+
+def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, updates: int = 800, final_epochs: int = 10, honest: float = 0.75, trust: float = 0.2, least: float = 0.6, allowed: float = 0.005, run=_here, **model) -> Model:
     """A model from (text, majority label) pairs; ``rounds`` of relabelling by models trained on the other half of the texts.
 
     ``thresholds`` of the model: for each category ``least``, or as much as leaves at most a share of ``allowed`` of the
-    texts labelled none above it, by the models that haven't seen them; with few labels the models are less sure.
+    texts labelled none above it, by the models that haven't seen them; with few labels the models are less sure. ``run`` fits
+    the models of a round, here or in tasks.
     """
     texts, place, given, harmless = [], {}, [], []
     for k, (text, label) in enumerate(labelled):
@@ -218,20 +265,22 @@ def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, upd
     np.fill_diagonal(says, honest)
     says[0] = shares
 
-    def fitted(rows: np.ndarray, target: np.ndarray, n: int = epochs) -> Model:
-        m = Model(**model)
-        m.fit([texts[i] for i in rows], target[rows], np.minimum(np.sqrt(counts[rows].sum(axis=1)), 10).astype(np.float32), n, updates)
-        return m
+    weight = np.minimum(np.sqrt(counts.sum(axis=1)), 10).astype(np.float32)
+    nobody = np.zeros(0, np.int64)
+
+    def job(rows: np.ndarray, target: np.ndarray, n: int, judge: np.ndarray) -> dict:
+        return {"rows": rows, "target": target, "weight": weight, "epochs": n, "updates": updates, "judge": judge, "model": model}
 
     target, worst, judging = targets[0], np.zeros((0, len(CLASSES))), []
     for k in range(rounds):
         p, judges = np.zeros((len(texts), len(CLASSES))), np.zeros(len(texts))
-        worst, judging = np.zeros((len(harmless), len(CLASSES))), []
+        worst = np.zeros((len(harmless), len(CLASSES)))
+        jobs = [job(np.flatnonzero(inside[:, h]), targets[h], final_epochs if k == rounds - 1 else epochs, np.flatnonzero(inside[:, 1 - h])) for h in (0, 1)]
+        judging = run(texts, jobs)
         for h in (0, 1):
-            m, judged = fitted(np.flatnonzero(inside[:, h]), targets[h], final_epochs if k == rounds - 1 else epochs), np.flatnonzero(inside[:, 1 - h])
-            judging.append(m)
+            judged = jobs[h]["judge"]
             q = np.zeros((len(texts), len(CLASSES)))
-            q[judged] = probabilities(m.table(), m.b, [texts[i] for i in judged])
+            q[judged] = judging[h][2]
             p, judges[judged] = p + q, judges[judged] + 1
             for j, (half, ids) in enumerate(harmless):
                 if half != h:
@@ -242,7 +291,8 @@ def train(labelled: list[tuple[str, str]], rounds: int = 2, epochs: int = 4, upd
         posterior = np.log(p) + trust * (counts @ np.log(says).T)
         target = posterior.argmax(axis=1)
         targets = [target, target]
-    m = fitted(np.arange(len(texts)), target, final_epochs).averaged(judging)
+    last = run(texts, [job(np.arange(len(texts)), target, final_epochs, nobody)])
+    m = Model.averaged([x[:2] for x in last + judging])
     m.thresholds = {c: float(np.clip(np.quantile(worst[:, i], 1 - allowed), least, 0.99)) if len(worst) else least for i, c in enumerate(CLASSES) if i}
     return m
 
@@ -251,22 +301,24 @@ def _scorer(table: np.ndarray, bias: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             best, count = np.zeros((len(b), len(CLASSES)), np.float64), np.zeros(len(b), np.int64)
-            held, owner, size = [], [], 0
+            # Each distinct passage is judged once; the texts that hold it are kept as numbers.
+            held, owner, which, size = {}, [], [], 0
 
             def judge() -> None:
                 if held:
-                    p = probabilities(table, bias, held)
-                    np.maximum.at(best, np.array(owner), np.where(np.arange(len(CLASSES)) == 0, 0, p))
+                    p = probabilities(table, bias, list(held))
+                    np.maximum.at(best, np.array(owner), np.where(np.arange(len(CLASSES)) == 0, 0, p[np.array(which)]))
 
             for i, t in enumerate(b["_text"].cast(pa.binary()).to_pylist()):
                 for passage in passages(text_of(t)):
-                    held.append(passage)
+                    if passage not in held:
+                        size += len(passage)
+                    which.append(held.setdefault(passage, len(held)))
                     owner.append(i)
                     count[i] += 1
-                    size += len(passage)
-                    if size > 1 << 20:
+                    if size > 1 << 21 or len(which) > 1 << 20:
                         judge()
-                        held, owner, size = [], [], 0
+                        held, owner, which, size = {}, [], [], 0
             judge()
             yield pa.RecordBatch.from_arrays([b["_key"], pa.array(count), *[pa.array(best[:, c]) for c in range(1, len(CLASSES))]], ["_key", "passages", *CLASSES[1:]])
 
@@ -285,12 +337,21 @@ def majority(labels: DataFrame, key: str, annotator: str, category: str) -> Data
     return top.where("size(ns) = 1 OR ns[0] > ns[1]").select(F.col("_key").alias(key), F.col("most._category").alias("label"))
 
 
-def train_on(texts: DataFrame, key: str, text: str, labels: DataFrame, annotator: str = "annotator", category: str = "category", max_labelled: int = 20_000, max_bytes: int = 50_000) -> Model:
-    """A model from the labelled texts; at most ``max_labelled`` of them, of at most ``max_bytes`` each, go to the driver."""
+def train_on(texts: DataFrame, key: str, text: str, labels: DataFrame, annotator: str = "annotator", category: str = "category", max_labelled: int = 20_000, max_bytes: int = 50_000, max_total: int = 24 << 20) -> Model:
+    """A model from the labelled texts: at most ``max_labelled`` of at most ``max_bytes`` each and ``max_total`` together go to the driver.
+
+    Training runs in tasks (``_in_tasks``).
+    """
     judged = majority(labels, key, annotator, category)
     of = texts.select(F.col(key), F.col(text).alias("_text")).where((F.octet_length("_text") > 0) & (F.octet_length("_text") <= max_bytes)).join(judged, key)
     sample = of.groupBy(key).agg(F.max(F.struct("_text", "label")).alias("r")).orderBy(F.xxhash64(key), key).limit(max_labelled)
-    return train([(r["r"]["_text"], r["r"]["label"]) for r in sample.toLocalIterator()])
+    held, size = [], 0
+    for r in materialize(sample, "sample").orderBy(F.xxhash64(key), key).toLocalIterator():
+        size += len(r["r"]["_text"].encode())
+        if size > max_total:
+            break
+        held.append((r["r"]["_text"], r["r"]["label"]))
+    return train(held, run=_in_tasks(texts.sparkSession))
 
 
 def score(texts: DataFrame, key: str, text: str, model: Model) -> DataFrame:
