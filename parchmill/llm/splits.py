@@ -76,19 +76,20 @@ def broken_ties(groups: DataFrame, split: str) -> DataFrame:
     return groups.join(bad, "component", "left_semi")
 
 
-def assign(groups: DataFrame, shares: dict[str, float]) -> DataFrame:
+def assign(groups: DataFrame, shares: dict[str, float], apart: float | None = None) -> DataFrame:
     """``groups`` with a column ``assigned``: whole components to splits, about in proportion to ``shares`` by rows.
 
     The hash of a component picks one of 4,096 slots; the slots' row counts, which are all the driver sees, set where the
-    ranges of the splits end. A component of more than half the smallest share goes to the split of the largest share, and
-    the ranges make up for it. An empty table gives no rows.
+    ranges of the splits end, so a split misses its share by no more than half of the slots at its ends, each about as large as its
+    largest component. With ``apart``, components of more than that share of the rows go to the split of the largest share
+    whatever their hash, and the ranges make up for it. An empty table gives no rows.
     """
     groups = materialize(groups, "groups")
     sizes = groups.groupBy("component").agg(F.count("*").alias("n")).withColumn("slot", F.pmod(F.xxhash64("component"), F.lit(SLOTS)).cast("int"))
     total = sum(shares.values())
     shares = {k: v / total for k, v in shares.items()}
     most, rows = max(shares, key=shares.get), groups.count()
-    bound = max(1.0, min(shares.values()) / 2 * rows)
+    bound = rows if apart is None else max(1.0, apart * rows)
     slots = {r["slot"]: r["n"] for r in sizes.where(F.col("n") <= bound).groupBy("slot").agg(F.sum("n").alias("n")).collect()}
     small = sum(slots.values())
     want = {k: max(0.0, v * rows - (rows - small if k == most else 0)) for k, v in shares.items()}

@@ -63,7 +63,9 @@ def test_assignment_keeps_components_and_shares(spark):
 
 def test_a_third_in_one_component(spark):
     data = [(i, "hot" if i < 1000 else f"f{i}", None, None) for i in range(3000)]
-    out = splits.assign(_groups(spark, data), {"train": 0.8, "validation": 0.1, "test": 0.1})
+    out = splits.assign(_groups(spark, data), {"train": 0.8, "validation": 0.1, "test": 0.1}, apart=0.05)
     share = {r["assigned"]: r["count"] / 3000 for r in out.groupBy("assigned").count().collect()}
     assert abs(share["train"] - 0.8) < 0.03 and {r["assigned"] for r in out.where("id < 1000").select("assigned").distinct().collect()} == {"train"}
+    by_hash = splits.assign(_groups(spark, data), {"train": 0.8, "validation": 0.1, "test": 0.1})
+    assert by_hash.count() == 3000 and by_hash.where("id < 1000").select("assigned").distinct().count() == 1
     assert splits.assign(_groups(spark, []), {"train": 1.0}).count() == 0
