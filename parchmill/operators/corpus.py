@@ -83,20 +83,26 @@ REASONS = (
     ("uncertain_word_space", ","),
     ("alternative_reading", r"[\[\]:]"),
     ("unreadable_glyph", r"\?"),
-    ("extended_code", "@"),
-    ("malformed_ligature", r"\{[^}]*$|^[^{]*\}"),
-    ("joined_form", "[A-Z]"),
-    ("unsupported_symbol", "[^a-z{}]"),
+    ("extended_eva", "[@;]"),
+    ("malformed_ligature", "[{}]"),
+    ("joined_eva_form", "[A-Z]"),
+    ("unsupported_symbol", "[^a-z']"),
 )
 
 
 def components(text: Column) -> Column:
-    """Components between certain boundaries as structs (source, reason, token); token is null where a reason is given."""
-    parts = F.filter(F.split(replaced(text, ("<->", "."), (r"<[^>]*>", ""), (r"\s+", "")), r"\."), lambda w: w != "")
+    """Components between certain boundaries as structs (source, reason, token); token is null where a reason is given.
+
+    Braces of ligatures are taken off from the inside out, as often as there are any; braces without partner stay.
+    """
+    bare = replaced(text, ("<[-~]>", "."), (r"<[^>]*>", ""))
+    depth = F.length(bare) - F.length(F.replace(bare, F.lit("{"), F.lit("")))
+    flat = F.aggregate(F.sequence(F.lit(0), depth), bare, lambda t, _: F.regexp_replace(t, r"\{([^{}]*)\}", "$1"))
+    parts = F.filter(F.split(F.regexp_replace(flat, r"\s+", ""), r"\."), lambda w: w != "")
 
     def one(w: Column) -> Column:
         reason = F.coalesce(*[F.when(w.rlike(p), F.lit(name)) for name, p in REASONS])
-        return F.struct(w.alias("source"), reason.alias("reason"), F.when(reason.isNull(), F.regexp_replace(w, "[{}]", "")).alias("token"))
+        return F.struct(w.alias("source"), reason.alias("reason"), F.when(reason.isNull(), w).alias("token"))
 
     return F.transform(parts, one)
 

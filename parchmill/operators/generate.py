@@ -63,15 +63,14 @@ def random_words(spark: SparkSession, n: int, alphabet: str, lengths: tuple[int,
 class Habit:
     """Chain of signs learnt from word counts: what a writer's hand would do without meaning anything."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.signs = sorted({s for w in counts for s in w})
+    def __init__(self, counts: dict[tuple[str, str], int]):
+        """From how often a sign follows another; "" stands before and behind a word."""
+        self.signs = sorted({s for pair in counts for s in pair if s})
         at = {s: i for i, s in enumerate(self.signs)}
         k = len(self.signs)
         self.step = np.zeros((k + 1, k + 1))  # the last row begins, the last column ends a word
-        for w, n in counts.items():
-            path = [k, *(at[s] for s in w), k]
-            for a, b in zip(path, path[1:]):
-                self.step[a, b] += n
+        for (a, b), n in counts.items():
+            self.step[at.get(a, k), at.get(b, k)] += n
         rows = self.step.sum(axis=1, keepdims=True)
         self.cum = np.cumsum(np.divide(self.step, rows, where=rows > 0, out=np.zeros_like(self.step)), axis=1)
 

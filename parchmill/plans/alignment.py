@@ -58,8 +58,8 @@ def peer_expectation(spark, sf_dir):
 
 
 def band_pairs(spark, sf_dir):
-    """JON-06: pairs of pages of a corpus up to three apart that share no word among their first ten."""
-    p = base.pages(spark, sf_dir).withColumn("head", F.slice("words", 1, 10))
+    """JON-06: pairs of pages of a corpus up to three apart, and those that share no word."""
+    p = base.pages(spark, sf_dir).withColumn("head", F.array_distinct("words"))
     pairs = align.band_pairs(p, "lop_id", "page_ord", 3, F.col("corpus_id"))
     heads = p.select("lop_id", "corpus_id", "head")
     j = pairs.join(heads.withColumnsRenamed({"lop_id": "a", "head": "ha"}), "a").join(heads.select(F.col("lop_id").alias("b"), F.col("head").alias("hb")), "b")
@@ -184,7 +184,7 @@ z AS (SELECT unnest(x) AS "left", unnest(y) AS "right" FROM j) SELECT "left", "r
 p AS (SELECT stratum, count(DISTINCT page_id) AS pages FROM t WHERE NOT label GROUP BY stratum),
 h AS (SELECT l.page_id, l.stratum, count(r.word) FILTER (WHERE r.page_id = l.page_id) AS own, count(r.word) FILTER (WHERE r.page_id <> l.page_id) AS peers FROM t l LEFT JOIN t r ON NOT r.label AND r.stratum = l.stratum AND r.word = l.word WHERE l.label GROUP BY ALL)
 SELECT h.stratum, count(*) AS pages, CAST(sum(own) AS BIGINT) AS observed, round(sum(peers / (pages - 1)), 6) AS expected FROM h JOIN p ON h.stratum = p.stratum WHERE pages > 1 GROUP BY h.stratum""",
-    "jon06_band_pairs": f"""WITH {base.PAGES} SELECT a.corpus_id, count(*) AS pairs, count(*) FILTER (WHERE len(list_intersect(a.words[1:10], b.words[1:10])) = 0) AS apart
+    "jon06_band_pairs": f"""WITH {base.PAGES} SELECT a.corpus_id, count(*) AS pairs, count(*) FILTER (WHERE len(list_intersect(a.words, b.words)) = 0) AS apart
 FROM pg a JOIN pg b ON a.corpus_id = b.corpus_id AND a.page_ord < b.page_ord AND b.page_ord <= a.page_ord + 3 GROUP BY a.corpus_id""",
     "jon07_distant_overlap": f"""WITH {base.PAGES}, p AS (SELECT corpus_id, lop_id, page_ord, list_distinct(words) AS types FROM pg), n AS (SELECT corpus_id, max(page_ord) AS last, min(page_ord) AS first FROM p GROUP BY corpus_id),
 r AS (SELECT p.*, first, greatest(page_ord - 21 - first + 1, 0) AS below, greatest(last - page_ord - 21 + 1, 0) AS above, CAST('0x' || substr(sha256('far|' || lop_id), 1, 8) AS BIGINT) AS h FROM p JOIN n USING (corpus_id)),

@@ -13,9 +13,18 @@ from parchmill.session import table
 REPS = 10
 
 
+def _slot(*parts):
+    """One key for a place, in the order of its numbers whatever their size."""
+    return F.concat_ws("#", *[F.lpad(F.col(p).cast("string"), 19, "0") for p in parts])
+
+
+def _slot_sql(*parts: str) -> str:
+    return " || '#' || ".join(f"lpad(CAST({p} AS VARCHAR), 19, '0')" for p in parts)
+
+
 def _slots(w, *cell):
-    """Words with one number as slot."""
-    return w.withColumn("slot", F.col("line_id") * 1000 + F.col("pos")).select(*cell, "line_id", "slot", "word")
+    """Words with their places as slots."""
+    return w.withColumn("slot", _slot("line_id", "pos")).select(*cell, "line_id", "slot", "word")
 
 
 def _repeat_rate(df, by, line="line_id"):
@@ -40,7 +49,7 @@ def labels_in_leaf(spark, sf_dir):
 
 def within_cells(spark, sf_dir, window: int = 10):
     """NUL-04: share of targets with a word of edit distance one or less among the ten before, against words shuffled within (page, length)."""
-    w = _page_words(spark, sf_dir).where("word RLIKE '^[a-z]+$'").select("corpus_id", "lop_id", F.length("word").alias("len"), (F.col("lop_id") * 100000 + F.col("pos")).alias("slot"), "word")
+    w = _page_words(spark, sf_dir).where("word RLIKE '^[a-z]+$'").select("corpus_id", "lop_id", F.length("word").alias("len"), _slot("lop_id", "pos").alias("slot"), "word")
 
     def rate(d, by):
         before = F.collect_list("word").over(Window.partitionBy(*by, "lop_id").orderBy("slot").rowsBetween(-window, -1))
@@ -54,7 +63,7 @@ def within_cells(spark, sf_dir, window: int = 10):
 def joint_tuples(spark, sf_dir):
     """NUL-05: positions of which the next has the same family in both copies' readings, both readings moved together within (page, line position)."""
     p = table(spark, sf_dir, "zg_positions").where("valid AND zl_family IS NOT NULL AND gc_family IS NOT NULL").groupBy(F.lower(F.trim("page_id")).alias("page"), "locus_number", "ordinal").agg(F.max(F.struct("loaded_at", F.trim("line_position").alias("place"), F.trim("zl_family").alias("a"), F.trim("gc_family").alias("b"))).alias("r"))
-    w = p.select("page", "locus_number", "r.place", (F.col("locus_number") * 1000 + F.col("ordinal")).cast("long").alias("n"), F.concat("r.a", F.lit("/"), "r.b").alias("word")).withColumn("slot", F.concat("page", F.lit("#"), F.lpad(F.col("n").cast("string"), 9, "0")))
+    w = p.select("page", "locus_number", "r.place", F.concat("r.a", F.lit("/"), "r.b").alias("word"), F.concat("page", F.lit("#"), _slot("locus_number", "ordinal")).alias("slot"))
 
     def rate(d, by):
         after = F.lead("word").over(Window.partitionBy(*by, "page").orderBy("slot"))
@@ -66,7 +75,7 @@ def joint_tuples(spark, sf_dir):
 
 def recut_pages(spark, sf_dir):
     """NUL-06: overlap of adjacent pages against words shuffled over the corpus and cut to the pages' sizes."""
-    w = _page_words(spark, sf_dir).where("corpus_id LIKE 'ctl%'").select("corpus_id", "lop_id", "page_ord", (F.col("lop_id") * 100000 + F.col("pos")).alias("slot"), "word")
+    w = _page_words(spark, sf_dir).select("corpus_id", "lop_id", "page_ord", _slot("lop_id", "pos").alias("slot"), "word")
 
     def overlap(d, by):
         pages = d.groupBy(*by, "corpus_id", "page_ord", "lop_id").agg(F.collect_set("word").alias("types"))
@@ -182,8 +191,8 @@ m0 AS (SELECT rep, {cell}, {values}, row_number() OVER (PARTITION BY rep, {cell}
 mv AS (SELECT rep, {', '.join('s0.' + c.strip() for c in cell.split(','))}, s0.slot, {', '.join('m0.' + v.strip() for v in values.split(','))} FROM m0 JOIN s0 USING ({cell}, at_))"""
 
 
-_SLOTS = f"{base.LINE_WORDS}, a AS (SELECT split, line_id, line_id * 1000 + pos AS slot, word, pos FROM lw WHERE split IS NOT NULL)"
-_PAGE_SLOTS = f"{base.PAGE_WORDS}, a AS (SELECT corpus_id, lop_id, page_ord, length(word) AS len, lop_id * 100000 + pos AS slot, word FROM pw"
+_SLOTS = f"{base.LINE_WORDS}, a AS (SELECT split, line_id, {_slot_sql('line_id', 'pos')} AS slot, word, pos FROM lw WHERE split IS NOT NULL)"
+_PAGE_SLOTS = f"{base.PAGE_WORDS}, a AS (SELECT corpus_id, lop_id, page_ord, length(word) AS len, {_slot_sql('lop_id', 'pos')} AS slot, word FROM pw"
 
 SQL = {
     "nul02_within_lines": f"""WITH {_SLOTS}, {_shuffled('a', 'split, line_id', 'word', '408')},
@@ -201,11 +210,11 @@ nc AS (SELECT rep, corpus_id, word, list(word) OVER (PARTITION BY rep, lop_id OR
 n AS (SELECT rep, corpus_id, avg(CAST(len(list_filter(c, lambda x: levenshtein(word, x) <= 1)) > 0 AS INTEGER)) AS rate FROM nc WHERE len(c) = 10 GROUP BY ALL)
 SELECT corpus_id, {_AGAINST} FROM n JOIN o USING (corpus_id) GROUP BY corpus_id, o""",
     "nul05_joint_tuples": f"""WITH p AS (SELECT lower(trim(page_id)) AS page, locus_number, ordinal, max(struct_pack(t := loaded_at, place := trim(line_position), a := trim(zl_family), b := trim(gc_family))) AS r FROM zg_positions WHERE valid AND zl_family IS NOT NULL AND gc_family IS NOT NULL GROUP BY ALL),
-a AS (SELECT page, r.place AS place, page || '#' || lpad(CAST(locus_number * 1000 + ordinal AS VARCHAR), 9, '0') AS slot, r.a || '/' || r.b AS word FROM p), {_shuffled('a', 'page, place', 'word', 'joint')},
+a AS (SELECT page, r.place AS place, page || '#' || {_slot_sql('locus_number', 'ordinal')} AS slot, r.a || '/' || r.b AS word FROM p), {_shuffled('a', 'page, place', 'word', 'joint')},
 o AS (SELECT avg(CAST(substr(x, 1, 1) = substr(word, 1, 1) AS INTEGER)) AS o FROM (SELECT word, lead(word) OVER (PARTITION BY page ORDER BY slot) AS x FROM a) WHERE x IS NOT NULL),
 n AS (SELECT rep, avg(CAST(substr(x, 1, 1) = substr(word, 1, 1) AS INTEGER)) AS rate FROM (SELECT rep, word, lead(word) OVER (PARTITION BY rep, page ORDER BY slot) AS x FROM mv) WHERE x IS NOT NULL GROUP BY rep)
 SELECT {_AGAINST} FROM n, o GROUP BY o""",
-    "nul06_recut_pages": f"""WITH {_PAGE_SLOTS} WHERE corpus_id LIKE 'ctl%'), {_shuffled('a', 'corpus_id', 'word', 'recut')},
+    "nul06_recut_pages": f"""WITH {_PAGE_SLOTS}), {_shuffled('a', 'corpus_id', 'word', 'recut')},
 q AS (SELECT corpus_id, page_ord, lop_id, list_distinct(list(word)) AS t FROM a GROUP BY ALL), qn AS (SELECT corpus_id, t, lead(t) OVER (PARTITION BY corpus_id ORDER BY page_ord, lop_id) AS x FROM q),
 o AS (SELECT corpus_id, avg(len(list_intersect(t, x)) / len(list_distinct(list_concat(t, x)))) AS o FROM qn WHERE x IS NOT NULL GROUP BY corpus_id),
 z AS (SELECT rep, mv.corpus_id, page_ord, lop_id, list_distinct(list(mv.word)) AS t FROM mv JOIN a USING (slot) GROUP BY ALL), zn AS (SELECT rep, corpus_id, t, lead(t) OVER (PARTITION BY rep, corpus_id ORDER BY page_ord, lop_id) AS x FROM z),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from parchmill.functions import plugins
-from parchmill.operators import corpus, nulls, runs
+from parchmill.operators import corpus, nulls, runs, stats
 from parchmill.plans import base
 from parchmill.plans.chance import _SLOTS, _slots
 from parchmill.plans.statistics import _line_words, _r
@@ -68,23 +68,23 @@ def budgets(spark, sf_dir, total: int = 64_000, least: int = 2_000):
 
 
 def global_shuffle(spark, sf_dir):
-    """NUL-01: signs shuffled over a split while the words keep their lengths; words that are still in the vocabulary."""
-    w = _slots(_line_words(spark, sf_dir).where("split = 'validation' AND word RLIKE '^[a-z]+$'"), "split")
-    s = w.select("split", "slot", F.posexplode(F.filter(F.split("word", ""), lambda x: x != "")).alias("i", "sign")).withColumn("at", F.col("slot") * 100 + F.col("i"))
-    m = nulls.shuffled(s.select("split", F.col("at").alias("slot"), "sign"), 3, ["split"], "slot", ["sign"], "signs")
-    again = m.groupBy("rep", F.expr("slot DIV 100").alias("word_slot")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "sign"))), lambda x: x["sign"]), "").alias("word"))
-    known = w.select("word").distinct().withColumn("known", F.lit(1))
-    return again.join(known, "word", "left").groupBy("rep").agg(F.count("*").alias("words"), F.count("known").alias("known"))
+    """NUL-01: signs shuffled over each split while the words keep their lengths; words that are still in the split's vocabulary."""
+    w = _slots(_line_words(spark, sf_dir).where("split IS NOT NULL AND word RLIKE '^[a-z]+$'"), "split")
+    s = w.select("split", F.col("slot").alias("word_slot"), F.posexplode(F.filter(F.split("word", ""), lambda x: x != "")).alias("i", "sign")).withColumn("slot", F.concat("word_slot", F.lit("#"), F.lpad(F.col("i").cast("string"), 10, "0")))
+    m = nulls.shuffled(s.select("split", "slot", "sign"), 3, ["split"], "slot", ["sign"], "signs")
+    again = m.groupBy("rep", "split", F.substring_index("slot", "#", 2).alias("word_slot")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "sign"))), lambda x: x["sign"]), "").alias("word"))
+    known = w.select("split", "word").distinct().withColumn("known", F.lit(1))
+    return again.join(known, ["split", "word"], "left").groupBy("split", "rep").agg(F.count("*").alias("words"), F.count("known").alias("known"))
 
 
 def picked_nulls(spark, sf_dir):
-    """NUL-07: for each page a page of its class picked by hash, many times; overlap of their first words, without smoothing."""
-    p = base.pages(spark, sf_dir).where("size(words) > 0").select("corpus_id", "lop_id", F.element_at("words", 1).alias("w"))
+    """NUL-07: for each page a page of its class picked by hash, many times; overlap of their words, without smoothing."""
+    p = base.pages(spark, sf_dir).where("size(words) > 0").select("corpus_id", "lop_id", F.array_distinct("words").alias("w"))
     numbered = p.withColumn("k", F.row_number().over(Window.partitionBy("corpus_id").orderBy("lop_id")))
     n = numbered.groupBy("corpus_id").agg(F.max("k").alias("n"))
     picks = nulls.replicates(numbered.join(n, "corpus_id"), 10).withColumn("pick", (F.floor(nulls.uniform("pick", F.col("rep"), F.col("lop_id")) * F.col("n")) + 1).cast("int")).select("rep", "corpus_id", "w", "pick")
     j = picks.join(numbered.select("corpus_id", F.col("k").alias("pick"), F.col("w").alias("other")), ["corpus_id", "pick"])
-    return j.groupBy("corpus_id", "rep").agg(F.count("*").alias("pages"), F.count_if(F.col("w") == F.col("other")).alias("same"))
+    return j.groupBy("corpus_id", "rep").agg(F.count("*").alias("pages"), _r(F.avg(stats.jaccard(F.col("w"), F.col("other")))).alias("overlap"))
 
 
 def placebo_runs(spark, sf_dir):
@@ -234,14 +234,14 @@ k AS (SELECT *, abs(f - r) AS effect, sqrt(r * (1 - r) / n) AS se, max(r) OVER (
     "srt04_budgets": """WITH d AS (SELECT contributor_id, doc_id, length(text) AS n, least(length(text), 2000) AS base FROM documents WHERE text IS NOT NULL AND contributor_id IS NOT NULL),
 s AS (SELECT *, greatest(64000 - sum(base) OVER (PARTITION BY contributor_id), 0) AS spare, sum(n - base) OVER (PARTITION BY contributor_id ORDER BY doc_id) AS want FROM d),
 g AS (SELECT contributor_id, n, base + greatest(0, least(n - base, spare - (want - (n - base)))) AS room FROM s) SELECT contributor_id, CAST(sum(room) AS BIGINT) AS room, count(*) FILTER (WHERE room < n) AS cut FROM g GROUP BY contributor_id""",
-    "nul01_global_shuffle": f"""WITH {_SLOTS}, v AS (SELECT slot, word FROM a WHERE split = 'validation' AND regexp_full_match(word, '[a-z]+')),
-s AS (SELECT slot * 100 + i - 1 AS at_, substr(word, i, 1) AS sign FROM (SELECT slot, word, CAST(unnest(generate_series(1, length(word))) AS BIGINT) AS i FROM v)), o AS (SELECT at_, row_number() OVER (ORDER BY at_) AS k FROM s),
-m AS (SELECT rep, sign, row_number() OVER (PARTITION BY rep ORDER BY sha256(concat_ws('|', 'signs', rep, at_))) AS k FROM s, (SELECT unnest([1, 2, 3]) AS rep)),
-w AS (SELECT rep, at_ // 100 AS slot, string_agg(sign, '' ORDER BY at_) AS word FROM m JOIN o USING (k) GROUP BY ALL)
-SELECT rep, count(*) AS words, count(*) FILTER (WHERE word IN (SELECT word FROM v)) AS known FROM w GROUP BY rep""",
-    "nul07_picked_nulls": f"""WITH {base.PAGES}, p AS (SELECT corpus_id, lop_id, words[1] AS w, row_number() OVER (PARTITION BY corpus_id ORDER BY lop_id) AS k, count(*) OVER (PARTITION BY corpus_id) AS n FROM pg WHERE len(words) > 0),
+    "nul01_global_shuffle": f"""WITH {_SLOTS}, v AS (SELECT split, slot, word FROM a WHERE regexp_full_match(word, '[a-z]+')),
+s AS (SELECT split, slot, slot || '#' || lpad(CAST(i - 1 AS VARCHAR), 10, '0') AS at_, substr(word, i, 1) AS sign FROM (SELECT split, slot, word, CAST(unnest(generate_series(1, length(word))) AS BIGINT) AS i FROM v)), o AS (SELECT split, slot, at_, row_number() OVER (PARTITION BY split ORDER BY at_) AS k FROM s),
+m AS (SELECT rep, split, sign, row_number() OVER (PARTITION BY rep, split ORDER BY sha256(concat_ws('|', 'signs', rep, at_))) AS k FROM s, (SELECT unnest([1, 2, 3]) AS rep)),
+w AS (SELECT rep, split, slot, string_agg(sign, '' ORDER BY at_) AS word FROM m JOIN o USING (split, k) GROUP BY ALL)
+SELECT w.split, rep, count(*) AS words, count(u.word) AS known FROM w LEFT JOIN (SELECT DISTINCT split, word FROM v) u ON u.split = w.split AND u.word = w.word GROUP BY ALL""",
+    "nul07_picked_nulls": f"""WITH {base.PAGES}, p AS (SELECT corpus_id, lop_id, list_distinct(words) AS w, row_number() OVER (PARTITION BY corpus_id ORDER BY lop_id) AS k, count(*) OVER (PARTITION BY corpus_id) AS n FROM pg WHERE len(words) > 0),
 c AS (SELECT rep, corpus_id, w, CAST(floor(CAST('0x' || substr(sha256(concat_ws('|', 'pick', rep, lop_id)), 1, 8) AS BIGINT) / 4294967296.0 * n) AS BIGINT) + 1 AS pick FROM p, (SELECT unnest(generate_series(1, 10)) AS rep))
-SELECT c.corpus_id, CAST(rep AS INTEGER) AS rep, count(*) AS pages, count(*) FILTER (WHERE c.w = p.w) AS same FROM c JOIN p ON p.corpus_id = c.corpus_id AND p.k = c.pick GROUP BY ALL""",
+SELECT c.corpus_id, CAST(rep AS INTEGER) AS rep, count(*) AS pages, round(avg(len(list_intersect(c.w, p.w)) / len(list_distinct(list_concat(c.w, p.w)))), 6) AS overlap FROM c JOIN p ON p.corpus_id = c.corpus_id AND p.k = c.pick GROUP BY ALL""",
     "ver05_calibration": f"""WITH {_SLOTS}, s0 AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY slot) AS k FROM a), rp AS (SELECT unnest(generate_series(1, 20)) AS rep),
 m AS (SELECT rep, line_id, word, row_number() OVER (PARTITION BY rep, line_id ORDER BY sha256(concat_ws('|', 'calibrate', rep, slot))) AS k FROM a, rp),
 x AS (SELECT rep, s0.split, m.word, lead(m.word) OVER (PARTITION BY rep, line_id ORDER BY k) AS after FROM m JOIN s0 USING (line_id, k)),

@@ -31,9 +31,11 @@ def random_words(spark, sf_dir):
 
 
 def _habit(spark, sf_dir):
-    """The 2,000 commonest words of the first witness; the habit needs sign frequencies only."""
-    c = base.words(spark, sf_dir).where("file = 'zed_eva.ivtff'").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(2000)
-    return generate.Habit({r["word"]: r["n"] for r in c.collect()})
+    """The habit of the first witness: transitions between signs, summed over all its words; only these counts, signs by signs, come to the driver."""
+    c = base.words(spark, sf_dir).where("file = 'zed_eva.ivtff'").groupBy("word").agg(F.count("*").alias("n"))
+    path = F.concat(F.array(F.lit("")), F.filter(F.split("word", ""), lambda s: s != ""), F.array(F.lit("")))
+    steps = c.select("n", F.explode(F.arrays_zip(F.slice(path, 1, F.size(path) - 1).alias("a"), F.slice(path, 2, F.size(path) - 1).alias("b"))).alias("s")).groupBy("s.a", "s.b").agg(F.sum("n").alias("n"))
+    return generate.Habit({(r["a"], r["b"]): r["n"] for r in steps.toLocalIterator()})
 
 
 def generated(spark, sf_dir):
@@ -92,14 +94,23 @@ def merges(spark, sf_dir, steps: int = 8):
 
 
 def backoff(spark, sf_dir):
-    """ITR-03: probabilities of words after a word, backed off: (2c + 1) / (2T + V), then (c + p0) / (C + 1)."""
-    w = _line_words(spark, sf_dir).where("split = 'discovery'").withColumn("before", F.lag("word", 1, "<BOS>").over(Window.partitionBy("line_id").orderBy("pos"))).select("before", "word")
-    c = w.groupBy("word").agg(F.count("*").alias("c"))
-    t = c.agg(F.sum("c").alias("t"), F.count("*").alias("v"))
-    b = w.groupBy("before", "word").agg(F.count("*").alias("cb")).where("cb >= 2")
-    h = w.groupBy("before").agg(F.count("*").alias("ch"))
-    p0 = (2 * F.col("c") + 1) / (2 * F.col("t") + F.col("v"))
-    return b.join(h, "before").join(c, "word").join(F.broadcast(t)).select("before", "word", F.round(p0, 9).alias("p0"), F.round((F.col("cb") + p0) / (F.col("ch") + 1), 9).alias("p1"))  # t is a single row
+    """ITR-03: probabilities of words after two words, backed off within each Currier class.
+
+    p0 = (2c + 1) / (2T + V) of a word, p1 = (c + p0) / (C + 1) after the word before it, p2 = (c + p1) / (C + 1) after both.
+    """
+    order = Window.partitionBy("line_id").orderBy("pos")
+    w = _line_words(spark, sf_dir).where("split = 'discovery' AND currier IS NOT NULL").withColumn("before", F.lag("word", 1, "<BOS>").over(order)).withColumn("second", F.lag("word", 2, "<BOS>").over(order)).select("currier", "second", "before", "word")
+    triples = w.groupBy("currier", "second", "before", "word").agg(F.count("*").alias("c2"))
+    pairs = triples.groupBy("currier", "before", "word").agg(F.sum("c2").alias("c1"))
+    words = pairs.groupBy("currier", "word").agg(F.sum("c1").alias("c0"))
+    totals = words.groupBy("currier").agg(F.sum("c0").alias("t"), F.count("*").alias("v"))
+    after_two = triples.groupBy("currier", "second", "before").agg(F.sum("c2").alias("n2"))
+    after_one = pairs.groupBy("currier", "before").agg(F.sum("c1").alias("n1"))
+    j = triples.join(pairs, ["currier", "before", "word"]).join(after_one, ["currier", "before"]).join(after_two, ["currier", "second", "before"]).join(words, ["currier", "word"]).join(totals, "currier")
+    p0 = (2 * F.col("c0") + 1) / (2 * F.col("t") + F.col("v"))
+    p1 = (F.col("c1") + p0) / (F.col("n1") + 1)
+    p2 = (F.col("c2") + p1) / (F.col("n2") + 1)
+    return j.select("currier", "second", "before", "word", F.round(p0, 9).alias("p0"), F.round(p1, 9).alias("p1"), F.round(p2, 9).alias("p2"))
 
 
 def inventories(spark, sf_dir):
@@ -140,10 +151,13 @@ def exact_tails(spark, sf_dir):
     return s.groupBy("unit").applyInPandas(tails, "unit STRING, strata LONG, lower DOUBLE, upper DOUBLE")
 
 
-def prefix_similarity(spark, sf_dir):
-    """VER-07: shared beginnings of adjacent words."""
+def affix_similarity(spark, sf_dir):
+    """VER-07: shared beginnings and shared ends of adjacent words, alone and together in relation to the longer word."""
     w = _line_words(spark, sf_dir).withColumn("after", F.lead("word").over(Window.partitionBy("line_id").orderBy("pos"))).where("after IS NOT NULL")
-    return w.groupBy("split", similarity.shared_prefix(F.col("word"), F.col("after")).cast("long").alias("shared")).agg(F.count("*").alias("n"))
+    start, end = similarity.shared_prefix(F.col("word"), F.col("after")), similarity.shared_prefix(F.reverse("word"), F.reverse("after"))
+    longest = F.greatest(F.length("word"), F.length("after"))
+    both = F.least(start + end, F.least(F.length("word"), F.length("after")))
+    return w.groupBy("split", start.cast("long").alias("prefix"), end.cast("long").alias("suffix")).agg(F.count("*").alias("n"), _r(F.avg(both / longest)).alias("affixes"))
 
 
 def circular_gaps(spark, sf_dir):
@@ -163,11 +177,14 @@ def binomial_tails(spark, sf_dir):
 
 
 def estimators(spark, sf_dir):
-    """VER-12: the pooled log odds under several corrections side by side."""
-    s = _strata(spark, sf_dir).where("a + c < n").withColumn("kappa", F.explode(F.array(F.lit(0.5), F.lit(1.0), F.lit(2.0))))
-    k = F.col("kappa") * (F.col("a") + F.col("b")) * (F.col("a") + F.col("c")) / F.col("n") * (F.col("c") + F.col("d")) * (F.col("b") + F.col("d")) / F.col("n") / F.pow("n", F.lit(2))
-    r, q = F.sum(F.col("a") * F.col("d") / F.col("n") + k), F.sum(F.col("b") * F.col("c") / F.col("n") + k)
-    return s.groupBy("unit", "kappa").agg(_r(F.log(r / q)).alias("log_or"))
+    """VER-12: the pooled log odds uncorrected, with a half added to every cell, and with cells moved towards their expectation, side by side."""
+    s = _strata(spark, sf_dir).where("a + c < n")
+    k = (F.col("a") + F.col("b")) * (F.col("a") + F.col("c")) / F.col("n") * (F.col("c") + F.col("d")) * (F.col("b") + F.col("d")) / F.col("n") / F.pow("n", F.lit(2))
+    a, b, c, d, n = (F.col(x) for x in "abcdn")
+    ways = [("uncorrected", a * d / n, b * c / n), ("flat", (a + 0.5) * (d + 0.5) / (n + 2), (b + 0.5) * (c + 0.5) / (n + 2))] + [(f"kappa {x}", a * d / n + x * k, b * c / n + x * k) for x in (0.5, 1.0, 2.0)]
+    each = s.select("unit", F.explode(F.array(*[F.struct(F.lit(w).alias("estimator"), r.cast("double").alias("r"), q.cast("double").alias("q")) for w, r, q in ways])).alias("e")).select("unit", "e.*")
+    g = each.groupBy("unit", "estimator").agg(F.sum("r").alias("r"), F.sum("q").alias("q"))
+    return g.select("unit", "estimator", _r(F.when((F.col("r") > 0) & (F.col("q") > 0), F.log(F.col("r") / F.col("q")))).alias("log_or"))
 
 
 def design_variants(spark, sf_dir):
@@ -200,7 +217,7 @@ QUERIES = {
     "str01_edit_classes": edit_classes,
     "str03_lcs_classes": lcs_classes,
     "ver01_exact_tails": exact_tails,
-    "ver07_prefix_similarity": prefix_similarity,
+    "ver07_affix_similarity": affix_similarity,
     "ver08_circular_gaps": circular_gaps,
     "ver10_binomial_tails": binomial_tails,
     "ver12_estimators": estimators,
@@ -241,18 +258,22 @@ s AS (SELECT word, n, kind, unnest(generate_series(1, length(plain))) AS i, unne
 c AS (SELECT kind, word, n, string_agg(CASE WHEN kind = 'signs' THEN substr('oeyaidklrtsnqgpmfhbcxzuvjw', k + 1, 1) ELSE ['ol', 'dy', 'chy', 'ar', 'or', 'ain', 'shey', 'qo', 'kee', 'ty'][k % 10 + 1] END, '' ORDER BY i) AS cipher FROM s JOIN l USING (letter) GROUP BY ALL)
 SELECT kind, CAST(sum(n) AS BIGINT) AS tokens, count(DISTINCT cipher) AS types, CAST(sum(length(cipher) * n) AS BIGINT) AS signs FROM c GROUP BY kind""",
     "gen07_numeral_rings": "WITH r(system, n, word) AS (VALUES " + ", ".join(f"('{s}', {n}, '{f(n)}')" for s, f in _RING for n in range(1, 31)) + "), k AS (SELECT system, CASE WHEN n <= 10 THEN 0 WHEN n <= 25 THEN 1 ELSE 2 END AS ring, word FROM r) SELECT system, ring, count(*) AS n, CAST(sum(length(word)) AS BIGINT) AS signs FROM k GROUP BY ALL",
-    "itr03_backoff": f"""WITH {base.LINE_WORDS}, a AS (SELECT lag(word, 1, '<BOS>') OVER (PARTITION BY line_id ORDER BY pos) AS before, word FROM lw WHERE split = 'discovery'), c AS (SELECT word, count(*) AS c FROM a GROUP BY word), t AS (SELECT sum(c) AS t, count(*) AS v FROM c),
-b AS (SELECT before, word, count(*) AS cb FROM a GROUP BY ALL HAVING count(*) >= 2), h AS (SELECT before, count(*) AS ch FROM a GROUP BY before)
-SELECT before, word, round((2 * c + 1) / (2 * t + v), 9) AS p0, round((cb + (2 * c + 1) / (2 * t + v)) / (ch + 1), 9) AS p1 FROM b JOIN h USING (before) JOIN c USING (word), t""",
+    "itr03_backoff": f"""WITH {base.LINE_WORDS}, a AS (SELECT currier, lag(word, 2, '<BOS>') OVER o AS second, lag(word, 1, '<BOS>') OVER o AS before, word FROM lw WHERE split = 'discovery' AND currier IS NOT NULL WINDOW o AS (PARTITION BY line_id ORDER BY pos)),
+c2 AS (SELECT currier, second, before, word, count(*) AS c2 FROM a GROUP BY ALL), c1 AS (SELECT currier, before, word, count(*) AS c1 FROM a GROUP BY ALL), c0 AS (SELECT currier, word, count(*) AS c0 FROM a GROUP BY ALL),
+t AS (SELECT currier, count(*) AS t, count(DISTINCT word) AS v FROM a GROUP BY ALL), n2 AS (SELECT currier, second, before, count(*) AS n2 FROM a GROUP BY ALL), n1 AS (SELECT currier, before, count(*) AS n1 FROM a GROUP BY ALL),
+p AS (SELECT *, (2 * c0 + 1) / (2 * t + v) AS p0 FROM c2 JOIN c1 USING (currier, before, word) JOIN c0 USING (currier, word) JOIN t USING (currier) JOIN n1 USING (currier, before) JOIN n2 USING (currier, second, before))
+SELECT currier, second, before, word, round(p0, 9) AS p0, round((c1 + p0) / (n1 + 1), 9) AS p1, round((c2 + (c1 + p0) / (n1 + 1)) / (n2 + 1), 9) AS p2 FROM p""",
     "itr04_inventories": f"""WITH {base.LINE_WORDS}, w AS (SELECT DISTINCT split, word FROM lw WHERE regexp_full_match(word, '[a-z]{{3,}}')), tr AS (SELECT DISTINCT word FROM w WHERE split = 'discovery'),
 te AS (SELECT DISTINCT word FROM w WHERE split IN ('validation', 'holdout') AND word NOT IN (SELECT word FROM tr)),
 s AS (SELECT substr(word, 1, 1) AS p, substr(word, -1) AS s, count(*) AS n, count(*) FILTER (WHERE substr(word, 2, length(word) - 2) IN (SELECT word FROM tr)) AS h FROM te GROUP BY ALL)
 SELECT a.p, a.s AS s1, b.s AS s2, a.n + b.n AS n, a.h + b.h AS hits FROM s a JOIN s b ON a.p = b.p AND a.s < b.s""",
     "str01_edit_classes": f"{_AFTER} WHERE regexp_full_match(word, '[a-z]+')) SELECT split, CAST(least(levenshtein(word, after), 2) AS INTEGER) AS edit_class, count(*) AS n, round(avg(1 - levenshtein(word, after) / greatest(length(word), length(after))), 6) AS similarity FROM a WHERE after IS NOT NULL GROUP BY ALL",
-    "ver07_prefix_similarity": f"{_AFTER}), p AS (SELECT split, (SELECT count(*) FROM unnest(generate_series(1, least(length(word), length(after)))) AS g(i) WHERE substr(word, 1, i) = substr(after, 1, i)) AS shared FROM a WHERE after IS NOT NULL) SELECT split, shared, count(*) AS n FROM p GROUP BY ALL",
+    "ver07_affix_similarity": f"{_AFTER}), p AS (SELECT split, word, after, (SELECT count(*) FROM unnest(generate_series(1, least(length(word), length(after)))) AS g(i) WHERE substr(word, 1, i) = substr(after, 1, i)) AS prefix, (SELECT count(*) FROM unnest(generate_series(1, least(length(word), length(after)))) AS g(i) WHERE right(word, i) = right(after, i)) AS suffix FROM a WHERE after IS NOT NULL) SELECT split, prefix, suffix, count(*) AS n, round(avg(least(prefix + suffix, length(word), length(after)) / greatest(length(word), length(after))), 6) AS affixes FROM p GROUP BY ALL",
     "ver08_circular_gaps": f"WITH {base.LINE_WORDS}, a AS (SELECT line_id, pos, word, count(*) OVER (PARTITION BY line_id) AS size FROM lw) SELECT least(y.pos - x.pos, x.size - (y.pos - x.pos)) AS gap, count(*) AS n FROM a x JOIN a y ON x.line_id = y.line_id AND x.word = y.word AND x.pos < y.pos GROUP BY 1",
-    "ver12_estimators": f"""WITH {_STRATA}, k AS (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS kappa), g AS (SELECT unit, kappa, sum(a * d / n + kappa * (a + b) * (a + c) / n * (c + d) * (b + d) / n / (n * n)) AS r, sum(b * c / n + kappa * (a + b) * (a + c) / n * (c + d) * (b + d) / n / (n * n)) AS q FROM st, k WHERE a + c < n GROUP BY ALL)
-SELECT unit, kappa, round(ln(r / q), 6) AS log_or FROM g""",
+    "ver12_estimators": f"""WITH {_STRATA}, x AS (SELECT *, (a + b) * (a + c) / n * (c + d) * (b + d) / n / (n * n) AS k FROM st WHERE a + c < n),
+ev AS (SELECT unit, 'uncorrected' AS estimator, a * d / n AS r, b * c / n AS q FROM x UNION ALL SELECT unit, 'flat', (a + 0.5::DOUBLE) * (d + 0.5::DOUBLE) / (n + 2), (b + 0.5::DOUBLE) * (c + 0.5::DOUBLE) / (n + 2) FROM x
+      UNION ALL SELECT unit, 'kappa ' || kappa, a * d / n + kappa * k, b * c / n + kappa * k FROM x, (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS kappa)),
+g AS (SELECT unit, estimator, sum(r) AS r, sum(q) AS q FROM ev GROUP BY ALL) SELECT unit, estimator, round(CASE WHEN r > 0 AND q > 0 THEN ln(r / q) END, 6) AS log_or FROM g""",
     "ver13_design_variants": f"""WITH {base.WORDS}, f AS (SELECT *, row_number() OVER (PARTITION BY locus_id ORDER BY pos) = 1 AS first FROM w), c AS (SELECT file, page_id, locus_type LIKE 'L%' AS label, word, count(*) AS c, count(*) FILTER (WHERE first) AS f FROM f GROUP BY ALL)
 SELECT file, label, CAST(sum(c) AS BIGINT) AS tokens, count(*) AS types, CAST(sum(f) AS BIGINT) AS first, count(*) FILTER (WHERE c = 1) AS once FROM c GROUP BY ALL""",
     "ver14_kept_slots": f"""WITH {base.LOCI}, l AS (SELECT file, page_id, number, locus_id, coalesce(len({base.CLEAN}) > 0, false) AS f FROM loc WHERE locus_type LIKE 'L%'),

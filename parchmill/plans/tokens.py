@@ -217,37 +217,52 @@ def patterns(spark, sf_dir):
     return d.groupBy("source").agg(*[F.count_if(F.col("text").rlike(p)).alias(n) for n, p in rules.items()])
 
 
-#: Densities of the signs of a word, rising then falling in a well-formed one.
-DENSITY = {"1": "qdlrsnmyg", "2": "aoeiu", "3": "tkpfch"}
+#: Signs by density, which rises and then falls in a well-formed word; all other signs are passed over.
+DENSITY = {
+    "3": ("t", "p", "k", "f", "cth", "cph", "ckh", "cfh"),
+    "2": ("ch", "sh", "ee"),
+    "1": ("d", "l", "r", "s", "n", "x", "i", "m", "g"),
+}
 
 
 def unimodal(spark, sf_dir):
     """STR-04: words whose sequence of densities rises and then falls."""
     w = base.words(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n"))
-    signs = "".join(DENSITY.values())
-    digits = F.translate("word", signs, "".join(d * len(s) for d, s in DENSITY.items()))
+    pools = {d: "|".join(sorted(signs, key=len, reverse=True)) for d, signs in DENSITY.items()}
+    found = F.regexp_extract_all("word", F.lit("|".join(pools.values())), F.lit(0))
+    density = lambda s: F.coalesce(*[F.when(s.rlike(f"^({p})$"), F.lit(d)) for d, p in pools.items()])
+    digits = F.array_join(F.transform(found, density), "")
     return w.groupBy(digits.rlike("^1*2*3*2*1*$").alias("unimodal")).agg(F.count("*").alias("types"), F.sum("n").alias("tokens"))
 
 
-#: Signs made of others, by layers.
-PARTS = {"m": "in", "n": "ii", "g": "yo", "x": "ge", "v": "mx"}
+#: The signs that others are made of, and the parts of each composed sign under two models.
+PRIMITIVES = "acehilosy"
+PAIR = {"d": "ey", "f": "id", "g": "cd", "k": "il", "m": "id", "n": "i", "p": "qd", "q": "ie", "r": "si", "t": "ql"}
+MODELS = {"PAIR": PAIR, "OPTIONAL_E": {**PAIR, "f": "ide", "p": "qde"}}
 
 
-def sign_counts(spark, sf_dir):
-    """STR-05: strokes of a word, signs expanded into their parts to the last layer (the table is expanded once)."""
-    def expand(sign: str, above: tuple = ()) -> int:
-        if sign in above:
-            raise ValueError(f"{sign} contains itself")
-        return sum(expand(p, (*above, sign)) for p in PARTS[sign]) if sign in PARTS else 1
+def expanded(sign: str, parts: dict[str, str], above: tuple = ()) -> str:
+    """A sign as primitives; unknown signs and signs that contain themselves are refused."""
+    if sign in PRIMITIVES:
+        return sign
+    if sign in above or sign not in parts:
+        raise ValueError(f"{sign} contains itself" if sign in above else f"{sign} is no known sign")
+    return "".join(expanded(p, parts, (*above, sign)) for p in parts[sign])
 
-    counts = F.create_map(*[F.lit(x) for s in PARTS for x in (s, expand(s))])
-    total = F.aggregate(F.filter(F.split("word", ""), lambda s: s != ""), F.lit(0), lambda a, s: a + F.coalesce(F.try_element_at(counts, s), F.lit(1)))
-    return base.words(spark, sf_dir).groupBy((total % 3).alias("residue")).agg(F.count("*").alias("n"))
+
+def sign_counts(spark, sf_dir):
+    """STR-05: lines by the remainder of three of their primitives, under each model; lines with signs outside of the inventory are counted apart."""
+    known = "".join(sorted({*PRIMITIVES, *PAIR}))
+    lines = base.words(spark, sf_dir).groupBy("locus_id").agg(F.array_join(F.array_sort(F.collect_list("word")), "").alias("signs"))
+    fine = F.col("signs").rlike(f"^[{known}]*$")
+    total = lambda parts: sum((F.lit(len(expanded(x, parts))) * (F.length("signs") - F.length(F.replace("signs", F.lit(x), F.lit("")))) for x in known), F.lit(0))
+    each = lines.select(F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.when(fine, total(p) % 3).alias("residue")) for m, p in MODELS.items()])).alias("m")).select("m.*")
+    return each.groupBy("model", "residue").agg(F.count("*").alias("n"))
 
 
 def split_classes(spark, sf_dir):
     """STR-06: words that are a known word, or one with a known beginning and a known rest, once or in several ways."""
-    w = base.lines(spark, sf_dir).select(F.explode("words").alias("word")).where("length(word) BETWEEN 2 AND 24 AND word RLIKE '^[a-z]+$'").groupBy("word").agg(F.count("*").alias("n"))
+    w = base.lines(spark, sf_dir).select(F.explode("words").alias("word")).where("length(word) >= 2 AND word RLIKE '^[a-z]+$'").groupBy("word").agg(F.count("*").alias("n"))
     known = w.where("n >= 3").select(F.col("word").alias("part"))
     cuts = w.select("word", F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> struct(substring(word, 1, i) AS head, substring(word, i + 1) AS tail))")).alias("c")).select("word", "c.head", "c.tail")
     ways = cuts.join(known.withColumnRenamed("part", "head"), "head").join(known.withColumnRenamed("part", "tail"), "tail").groupBy("word").agg(F.count("*").alias("ways"))
@@ -306,9 +321,11 @@ def _replaced(c: str, *steps: tuple[str, str]) -> str:
 
 
 _LETTERS = r"list_filter(list_transform(regexp_extract_all(lower(replace({t}, '’', '''')), '[\p{{L}}'']+'), lambda w: replace(w, '''', '')), lambda w: length(w) >= {n})"
-_PARTS = "list_filter(string_split_regex(" + _replaced("text", ("<->", "."), ("<[^>]*>", ""), (r"\s+", "")) + ", '\\.'), lambda w: w <> '')"
+_BARE = _replaced("text", ("<[-~]>", "."), ("<[^>]*>", ""))
+_FLAT = f"list_reduce(list_prepend({_BARE}, list_transform(generate_series(0, length({_BARE}) - length(replace({_BARE}, '{{', ''))), lambda i: '')), lambda a, b: regexp_replace(a, '\\{{([^{{}}]*)\\}}', '\\1', 'g'))"
+_PARTS = f"list_filter(string_split_regex(regexp_replace({_FLAT}, '\\s+', '', 'g'), '\\.'), lambda w: w <> '')"
 def _reason(w: str) -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches({w}, '{p}') THEN '{n}'" for n, p in corpus.REASONS) + " END"
+    return "CASE " + " ".join("WHEN regexp_matches({}, '{}') THEN '{}'".format(w, p.replace("'", "''"), n) for n, p in corpus.REASONS) + " END"
 
 
 _LINES_OF = r"SELECT doc_id, CAST(unnest(generate_series(0, len(ls) - 1)) AS INTEGER) AS line, unnest(ls) AS content FROM (SELECT doc_id, string_split_regex(text, '\r\n|\n|\r') AS ls FROM documents WHERE text IS NOT NULL)"
@@ -328,8 +345,7 @@ def _view_sql(space: str) -> str:
 
 
 _GALLOWS = "|".join(corpus.GALLOWS)
-_SIGNS = "".join(DENSITY.values())
-_TRANSLATED = "".join(d * len(s) for d, s in DENSITY.items())
+_DIGITS = _replaced("word", *[("|".join(sorted(s, key=len, reverse=True)), d) for d, s in DENSITY.items()], ("[^123]", ""))
 
 SQL = {
     "src04_page_words": f"WITH {base.WORDS} SELECT file, page_id, count(*) AS n, count(DISTINCT word) AS types FROM w WHERE locus_type LIKE 'P%' GROUP BY ALL",
@@ -382,14 +398,14 @@ SELECT CASE WHEN b IS NULL THEN 'first_only' WHEN a IS NULL THEN 'second_only' W
 SELECT lines, folios, tokens, lines >= 100 AS enough_lines, folios >= 10 AS enough_folios, unsplit * 50 <= lines AS few_unsplit, lines >= 100 AND folios >= 10 AND unsplit * 50 <= lines AS passed FROM i""",
     "flt09_patterns": r"""SELECT source, count(*) FILTER (WHERE regexp_matches(text, 'https?://')) AS links, count(*) FILTER (WHERE regexp_matches(text, '(^|\s)@[a-z_]+[0-9]*')) AS mentions,
 count(*) FILTER (WHERE regexp_matches(text, '<[a-z]+>')) AS tags, count(*) FILTER (WHERE regexp_matches(text, '\bf[0-9]+[rv][0-9]?\b')) AS folios, count(*) FILTER (WHERE regexp_matches(text, '[\x00-\x08\x0e-\x1f]')) AS controls FROM documents GROUP BY source""",
-    "str04_unimodal": f"WITH {base.WORDS}, c AS (SELECT word, count(*) AS n FROM w GROUP BY word) SELECT regexp_full_match(translate(word, '{_SIGNS}', '{_TRANSLATED}'), '1*2*3*2*1*') AS unimodal, count(*) AS types, CAST(sum(n) AS BIGINT) AS tokens FROM c GROUP BY 1",
-    "str05_sign_counts": f"""WITH RECURSIVE {base.WORDS}, parts(sign, part) AS (VALUES {', '.join(f"('{s}', '{p[0]}', 1), ('{s}', '{p[1]}', 2)" for s, p in PARTS.items())}),
-e(sign, part) AS (SELECT sign, part FROM parts UNION ALL SELECT e.sign, p.part FROM e JOIN parts p ON p.sign = e.part),
-n AS (SELECT sign, count(*) FILTER (WHERE part NOT IN (SELECT sign FROM parts)) AS k FROM e GROUP BY sign),
-s AS (SELECT locus_id, pos, unnest(regexp_extract_all(word, '.')) AS sign FROM w),
-t AS (SELECT locus_id, pos, sum(coalesce(k, 1)) AS total FROM s LEFT JOIN n USING (sign) GROUP BY ALL)
-SELECT CAST(total % 3 AS INTEGER) AS residue, count(*) AS n FROM t GROUP BY 1""".replace("parts(sign, part) AS", "parts(sign, part, place) AS"),
-    "str06_split_classes": f"""WITH {base.LINE_WORDS}, w AS (SELECT word, count(*) AS n FROM lw WHERE length(word) BETWEEN 2 AND 24 AND regexp_full_match(word, '[a-z]+') GROUP BY word),
+    "str04_unimodal": f"WITH {base.WORDS}, c AS (SELECT word, count(*) AS n FROM w GROUP BY word) SELECT regexp_full_match({_DIGITS}, '1*2*3*2*1*') AS unimodal, count(*) AS types, CAST(sum(n) AS BIGINT) AS tokens FROM c GROUP BY 1",
+    "str05_sign_counts": f"""WITH RECURSIVE {base.WORDS}, parts(model, sign, place, part) AS (VALUES {', '.join(f"('{m}', '{x}', {i}, '{p}')" for m, t in MODELS.items() for x, ps in t.items() for i, p in enumerate(ps))}),
+e(model, sign, part) AS (SELECT model, sign, part FROM parts UNION ALL SELECT e.model, e.sign, p.part FROM e JOIN parts p ON p.sign = e.part AND p.model = e.model),
+n AS (SELECT model, sign, count(*) FILTER (WHERE contains('{PRIMITIVES}', part)) AS k FROM e GROUP BY ALL UNION ALL SELECT model, x, 1 FROM (SELECT unnest(['PAIR', 'OPTIONAL_E']) AS model), (SELECT unnest(regexp_extract_all('{PRIMITIVES}', '.')) AS x)),
+s AS (SELECT model, locus_id, unnest(regexp_extract_all(word, '.')) AS sign FROM w, (SELECT unnest(['PAIR', 'OPTIONAL_E']) AS model)),
+t AS (SELECT model, locus_id, sum(k) AS total, count(*) = count(k) AS fine FROM s LEFT JOIN n USING (model, sign) GROUP BY ALL)
+SELECT model, CAST(CASE WHEN fine THEN total % 3 END AS INTEGER) AS residue, count(*) AS n FROM t GROUP BY ALL""",
+    "str06_split_classes": f"""WITH {base.LINE_WORDS}, w AS (SELECT word, count(*) AS n FROM lw WHERE length(word) >= 2 AND regexp_full_match(word, '[a-z]+') GROUP BY word),
 k AS (SELECT word AS part FROM w WHERE n >= 3),
 c AS (SELECT word, substr(word, 1, i) AS head, substr(word, i + 1) AS tail FROM (SELECT word, unnest(generate_series(1, length(word) - 1)) AS i FROM w)),
 y AS (SELECT word, count(*) AS ways FROM c JOIN k a ON a.part = head JOIN k b ON b.part = tail GROUP BY word)

@@ -30,8 +30,8 @@ def test_policies(spark):
 def test_reasons(spark):
     c = one(spark, corpus.components, "<%>qokedy.daiin,chedy.[ol:or].{cth}y.@192;ar<->shol.???.d?y<$>")
     assert [x["token"] for x in c if x["token"]] == ["qokedy", "cthy", "shol"]
-    assert [x["reason"] for x in c if x["reason"]] == ["uncertain_word_space", "alternative_reading", "extended_code", "unreadable_glyph", "unreadable_glyph"]
-    assert [x["reason"] for x in one(spark, corpus.components, "daiin.chol.Iiin")] == [None, None, "joined_form"]
+    assert [x["reason"] for x in c if x["reason"]] == ["uncertain_word_space", "alternative_reading", "extended_eva", "unreadable_glyph", "unreadable_glyph"]
+    assert [x["reason"] for x in one(spark, corpus.components, "daiin.chol.Iiin")] == [None, None, "joined_eva_form"]
 
 
 def test_words_and_units(spark):
@@ -64,13 +64,35 @@ def test_shuffle_keeps_cells_and_is_repeatable(spark):
         assert sorted(got) == sorted((i % 3, f"w{i}") for i in range(60))
 
 
+def test_nested_and_open_braces(spark):
+    c = one(spark, corpus.components, "{c{t}h}y.{ch.x;y.o'l")
+    assert [(x["token"], x["reason"]) for x in c] == [("cthy", None), (None, "malformed_ligature"), (None, "extended_eva"), ("o'l", None)]
+
+
+def test_primitives_of_signs():
+    from parchmill.plans.tokens import MODELS, PAIR, expanded
+
+    assert expanded("t", PAIR) == "iel" and expanded("p", PAIR) == "ieey" and expanded("p", MODELS["OPTIONAL_E"]) == "ieeye" and expanded("a", PAIR) == "a"
+    for bad, parts in (("x", PAIR), ("u", {"u": "v", "v": "u"})):
+        with pytest.raises(ValueError):
+            expanded(bad, parts)
+
+
+def test_places_keep_their_order_and_never_collide(spark):
+    from parchmill.plans.chance import _slot
+
+    places = [(1, 999), (1, 1000), (1, 1500), (2, 0), (10, 3), (2, 100_000)]
+    keys = [r[0] for r in spark.createDataFrame(places, "a LONG, b INT").select(_slot("a", "b")).collect()]
+    assert sorted(keys) == [k for _, k in sorted(zip(places, keys))] and len(set(keys)) == len(places)
+
+
 def test_draws(spark):
     d = spark.createDataFrame([(i, i % 2) for i in range(20)], "k INT, c INT")
     assert rows(nulls.drawn(d, 4, ["c"], "k", F.lit(3), "x").groupBy("rep", "c").count()) == [(r, c, 3) for r in range(1, 5) for c in (0, 1)]
 
 
 def test_generators():
-    h = generate.Habit({"daiin": 5, "ol": 3})
+    h = generate.Habit({p: n for w, n in (("daiin", 5), ("ol", 3)) for p in zip(["", *w], [*w, ""])})
     g = lambda: np.random.default_rng(1)
     words = generate.self_citing(h, g(), 1000, 0.1, 0.5)
     assert words == generate.self_citing(h, g(), 1000, 0.1, 0.5) and len(words) == 1000 and all(words)
