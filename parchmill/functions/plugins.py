@@ -18,7 +18,7 @@ def register_tokenizer(spark: SparkSession, name: str, tokenize: Tokenizer) -> N
             for i, t in enumerate(tokenize(text) if text is not None else ()):
                 yield i, t
 
-    spark.udtf.register(name, F.udtf(Tokens, returnType="pos INT, token STRING"))
+    spark.udtf.register(name, F.udtf(Tokens, returnType="pos INT, token STRING", useArrow=True))
 
 
 def tokenized(df: DataFrame, text: str, tokenize: Tokenizer, pos: str = "pos", token: str = "token") -> DataFrame:
@@ -42,8 +42,15 @@ def tokenized(df: DataFrame, text: str, tokenize: Tokenizer, pos: str = "pos", t
 
 def decided(df: DataFrame, verify: Callable[..., bool], *columns: str) -> DataFrame:
     """The rows that a caller's predicate over some columns lets through; it is asked once for each distinct combination."""
+    import pyarrow as pa
+
     distinct = df.select(*columns).distinct()
-    asked = distinct.withColumn("_ok", F.udf(verify, "boolean")(*columns)).where("_ok").drop("_ok")
+
+    def ask(batches):
+        for b in batches:
+            yield b.filter(pa.array([bool(verify(*r)) for r in zip(*[b[c].to_pylist() for c in columns])], pa.bool_()))
+
+    asked = distinct.mapInArrow(ask, distinct.schema)
     on = None
     for c in columns:
         same = F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}"))

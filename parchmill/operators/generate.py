@@ -6,7 +6,7 @@ group per configuration, many configurations side by side.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -131,7 +131,29 @@ def grid(configs: DataFrame, make: Callable[[dict, np.random.Generator], list[st
     return configs.groupBy("config").applyInPandas(run, WORDS)
 
 
-def by_rank(word: Column, ranked: str, to: list[str]) -> Column:
+def homophones(word: Column, ranked: str, to: Sequence[str], weights: tuple[int, ...] = (3, 2, 1)) -> Column:
+    """Each letter replaced by one of several groups, 26 ranks apart, drawn by their weights from a hash of word and place; the same word is enciphered alike."""
+    from parchmill.operators.nulls import uniform
+
+    ends = [sum(weights[: k + 1]) / sum(weights) for k in range(len(weights))]
+    tables = [F.create_map(*[F.lit(x) for i, s in enumerate(ranked) for x in (s, to[(i + 26 * k) % len(to)])]) for k in range(len(weights))]
+
+    def one(s: Column, i: Column) -> Column:
+        u, out = uniform("homophone", word, i), F.try_element_at(tables[-1], s)
+        for t, e in list(zip(tables, ends))[-2::-1]:
+            out = F.when(u < e, F.try_element_at(t, s)).otherwise(out)
+        return F.coalesce(out, F.lit(""))
+
+    return F.array_join(F.transform(F.filter(F.split(word, ""), lambda s: s != ""), one), "")
+
+
+def with_affixes(word: Column, ranked: str, inner: Sequence[str], left: Sequence[str], right: Sequence[str]) -> Column:
+    """The first and, in words of two letters or more, the last letter replaced by forms of their own, those between by rank."""
+    rest = F.when(F.length(word) > 1, F.concat(by_rank(F.substring(word, F.lit(2), F.length(word) - 2), ranked, inner), by_rank(F.substring(word, -1, 1), ranked, right))).otherwise(F.lit(""))
+    return F.concat(by_rank(F.substring(word, 1, 1), ranked, left), rest)
+
+
+def by_rank(word: Column, ranked: str, to: Sequence[str]) -> Column:
     """Each letter of the word replaced by the group at its rank in ``ranked``; other signs are dropped."""
     pairs = F.create_map(*[F.lit(x) for i, s in enumerate(ranked) for x in (s, to[i % len(to)])])
     return F.array_join(F.transform(F.filter(F.split(word, ""), lambda s: s != ""), lambda s: F.coalesce(F.try_element_at(pairs, s), F.lit(""))), "")

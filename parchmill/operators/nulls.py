@@ -46,7 +46,14 @@ def uniform(*parts: Column | str) -> Column:
 
 
 def against(observed: DataFrame, null: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by..., observed, null_mean, null_sd, delta, p): add-one upper p of the observed value among the replicates."""
+    """(by..., observed, null_mean, null_sd, delta, p, p_two, q05, q95).
+
+    ``p``: add-one upper p of the observed value among the replicates; ``p_two``: of its distance from their mean, to both sides;
+    ``q05`` and ``q95``: quantiles of the replicates (the least value that such a share of them doesn't exceed). The values of a
+    group's replicates, a number each, are held together.
+    """
     j = null.join(observed.withColumnRenamed(value, "_o"), by) if by else null.join(F.broadcast(observed.withColumnRenamed(value, "_o")))  # without by: a single row
-    g = j.groupBy(*by, "_o").agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), ((1 + F.count_if(F.col(value) >= F.col("_o") - 1e-12)) / (1 + F.count("*"))).alias("p"))
-    return g.select(*by, F.round("_o", 6).alias("observed"), F.round("m", 6).alias("null_mean"), F.round("s", 6).alias("null_sd"), F.round(F.col("_o") - F.col("m"), 6).alias("delta"), F.round("p", 6).alias("p"))
+    g = j.groupBy(*by, "_o").agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("s"), ((1 + F.count_if(F.col(value) >= F.col("_o") - 1e-12)) / (1 + F.count("*"))).alias("p"), F.sort_array(F.collect_list(value)).alias("v"))
+    two = (1 + F.size(F.filter("v", lambda x: F.abs(x - F.col("m")) >= F.abs(F.col("_o") - F.col("m")) - 1e-9))) / (1 + F.size("v"))
+    quantile = lambda q: F.try_element_at("v", F.greatest(F.lit(1), F.ceil(F.lit(q) * F.size("v"))).cast("int"))
+    return g.select(*by, F.round("_o", 6).alias("observed"), F.round("m", 6).alias("null_mean"), F.round("s", 6).alias("null_sd"), F.round(F.col("_o") - F.col("m"), 6).alias("delta"), F.round("p", 6).alias("p"), F.round(two, 6).alias("p_two"), F.round(quantile(0.05), 6).alias("q05"), F.round(quantile(0.95), 6).alias("q95"))

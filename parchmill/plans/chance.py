@@ -10,7 +10,8 @@ from parchmill.plans import base
 from parchmill.plans.statistics import _line_words, _page_words, _r
 from parchmill.session import table
 
-REPS = 10
+#: Replicates of a null; ORDER_REPS where words move within lines, LABEL_REPS where lines' labels move.
+REPS, ORDER_REPS, LABEL_REPS = 10, 39, 200
 
 
 def _slot(*parts):
@@ -32,32 +33,39 @@ def _repeat_rate(df, by, line="line_id"):
     return df.withColumn("_after", after).where("_after IS NOT NULL").groupBy(*by).agg(F.avg((F.col("_after") == F.col("word")).cast("double")).alias("rate"))
 
 
-def within_lines(spark, sf_dir):
+def within_lines(spark, sf_dir, reps: int = ORDER_REPS):
     """NUL-02, AGG-18: adjacent repeats against words shuffled within their line, per split."""
     w = _slots(_line_words(spark, sf_dir).where("split IS NOT NULL"), "split")
-    null = nulls.shuffled(w, REPS, ["split", "line_id"], "slot", ["word"], "408")
+    null = nulls.shuffled(w, reps, ["split", "line_id"], "slot", ["word"], "408")
     return nulls.against(_repeat_rate(w, ["split"]), _repeat_rate(null, ["rep", "split"]), ["split"], "rate")
 
 
-def labels_in_leaf(spark, sf_dir):
+def labels_in_leaf(spark, sf_dir, reps: int = LABEL_REPS):
     """NUL-03: lines whose hand is that of the line before, against hands shuffled within the leaf."""
     l = base.lines(spark, sf_dir).where("folio IS NOT NULL AND hand IS NOT NULL AND split IS NOT NULL").select("folio", F.col("line_id").alias("slot"), F.col("hand").alias("word"))
-    null = nulls.shuffled(l, REPS, ["folio"], "slot", ["word"], "quire")
+    null = nulls.shuffled(l, reps, ["folio"], "slot", ["word"], "quire")
     rate = lambda d, by: _repeat_rate(d.withColumn("line_id", F.col("folio")), by)
     return nulls.against(rate(l, []), rate(null, ["rep"]), [], "rate")
 
 
-def within_cells(spark, sf_dir, window: int = 10):
-    """NUL-04: share of targets with a word of edit distance one or less among the ten before, against words shuffled within (page, length)."""
-    w = _page_words(spark, sf_dir).where("word RLIKE '^[a-z]+$'").select("corpus_id", "lop_id", F.length("word").alias("len"), _slot("lop_id", "pos").alias("slot"), "word")
+#: The cell within which a position may move: page, stratum, length, paragraph start, place in the line.
+CELL = ("page", "currier", "hand", "illustration", "len", "initial", "place")
+
+
+def within_cells(spark, sf_dir, window: int = 10, reps: int = REPS):
+    """NUL-04, AGG-18: share of positions with a family of edit distance one or less among the ten before them on the page, against families shuffled within ``CELL``, per class."""
+    blank = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    p = table(spark, sf_dir, "zg_positions").where("valid AND trim(zl_family) <> ''").groupBy(F.lower(F.trim("page_id")).alias("page"), "locus_number", "ordinal")
+    p = p.agg(F.max(F.struct("loaded_at", F.trim("zl_family").alias("word"), blank("stratum.currier").alias("currier"), blank("stratum.hand").alias("hand"), blank("stratum.illustration").alias("illustration"), F.coalesce("paragraph_initial", F.lit(False)).alias("initial"), blank("line_position").alias("place"))).alias("r"))
+    w = p.select("page", F.concat("page", F.lit("#"), _slot("locus_number", "ordinal")).alias("slot"), "r.*").withColumn("len", F.length("word")).drop("loaded_at")
 
     def rate(d, by):
-        before = F.collect_list("word").over(Window.partitionBy(*by, "lop_id").orderBy("slot").rowsBetween(-window, -1))
+        before = F.collect_list("word").over(Window.partitionBy(*by, "page").orderBy("slot").rowsBetween(-window, -1))
         hit = F.exists("context", lambda c: F.levenshtein("word", c, 1) >= 0)
-        return d.withColumn("context", before).where(F.size("context") == window).groupBy(*by, "corpus_id").agg(F.avg(hit.cast("double")).alias("rate"))
+        return d.withColumn("context", before).where(F.size("context") == window).groupBy(*by, "currier").agg(F.avg(hit.cast("double")).alias("rate"))
 
-    null = nulls.shuffled(w, REPS, ["corpus_id", "lop_id", "len"], "slot", ["word"], "cell")
-    return nulls.against(rate(w, []), rate(null, ["rep"]), ["corpus_id"], "rate")
+    null = nulls.shuffled(w.select(*CELL, "slot", "word"), reps, list(CELL), "slot", ["word"], "cell")
+    return nulls.against(rate(w, []), rate(null, ["rep"]), ["currier"], "rate")
 
 
 def joint_tuples(spark, sf_dir):
@@ -182,11 +190,13 @@ QUERIES = {
 }
 
 _REPS = f"SELECT unnest(generate_series(1, {REPS})) AS rep"
-_AGAINST = "round(o, 6) AS observed, round(avg(rate), 6) AS null_mean, round(stddev_pop(rate), 6) AS null_sd, round(o - avg(rate), 6) AS delta, round((1 + count(*) FILTER (WHERE rate >= o - 1e-12)) / (1 + count(*)), 6) AS p"
+_AGAINST = "round(o, 6) AS observed, round(avg(rate), 6) AS null_mean, round(stddev_pop(rate), 6) AS null_sd, round(o - avg(rate), 6) AS delta, round((1 + count(*) FILTER (WHERE rate >= o - 1e-12)) / (1 + count(*)), 6) AS p, o AS _o, avg(rate) AS _m, list_sort(list(rate) FILTER (WHERE rate IS NOT NULL)) AS _v"
+_WHOLE = """SELECT * EXCLUDE (_o, _m, _v), round((1 + len(list_filter(_v, lambda x: abs(x - _m) >= abs(_o - _m) - 1e-9))) / (1 + len(_v)), 6) AS p_two,
+round(_v[CAST(greatest(1, ceil(0.05::DOUBLE * len(_v))) AS BIGINT)], 6) AS q05, round(_v[CAST(greatest(1, ceil(0.95::DOUBLE * len(_v))) AS BIGINT)], 6) AS q95 FROM ({})"""
 
 
-def _shuffled(source: str, cell: str, values: str, seed: str) -> str:
-    return f"""s0 AS (SELECT *, row_number() OVER (PARTITION BY {cell} ORDER BY slot) AS at_ FROM {source}), rp AS ({_REPS}),
+def _shuffled(source: str, cell: str, values: str, seed: str, reps: int = REPS) -> str:
+    return f"""s0 AS (SELECT *, row_number() OVER (PARTITION BY {cell} ORDER BY slot) AS at_ FROM {source}), rp AS (SELECT unnest(generate_series(1, {reps})) AS rep),
 m0 AS (SELECT rep, {cell}, {values}, row_number() OVER (PARTITION BY rep, {cell} ORDER BY sha256(concat_ws('|', '{seed}', rep, slot))) AS at_ FROM {source}, rp),
 mv AS (SELECT rep, {', '.join('s0.' + c.strip() for c in cell.split(','))}, s0.slot, {', '.join('m0.' + v.strip() for v in values.split(','))} FROM m0 JOIN s0 USING ({cell}, at_))"""
 
@@ -195,20 +205,21 @@ _SLOTS = f"{base.LINE_WORDS}, a AS (SELECT split, line_id, {_slot_sql('line_id',
 _PAGE_SLOTS = f"{base.PAGE_WORDS}, a AS (SELECT corpus_id, lop_id, page_ord, length(word) AS len, {_slot_sql('lop_id', 'pos')} AS slot, word FROM pw"
 
 SQL = {
-    "nul02_within_lines": f"""WITH {_SLOTS}, {_shuffled('a', 'split, line_id', 'word', '408')},
+    "nul02_within_lines": f"""WITH {_SLOTS}, {_shuffled('a', 'split, line_id', 'word', '408', ORDER_REPS)},
 o AS (SELECT split, avg(CAST(x = word AS INTEGER)) AS o FROM (SELECT split, word, lead(word) OVER (PARTITION BY line_id ORDER BY slot) AS x FROM a) WHERE x IS NOT NULL GROUP BY split),
 n AS (SELECT rep, split, avg(CAST(x = word AS INTEGER)) AS rate FROM (SELECT rep, split, word, lead(word) OVER (PARTITION BY rep, line_id ORDER BY slot) AS x FROM mv) WHERE x IS NOT NULL GROUP BY ALL)
 SELECT split, {_AGAINST} FROM n JOIN o USING (split) GROUP BY split, o""",
-    "nul03_labels_in_leaf": f"""WITH {base.LINES}, a AS (SELECT folio, line_id AS slot, hand AS word FROM li WHERE folio IS NOT NULL AND hand IS NOT NULL AND split IS NOT NULL), {_shuffled('a', 'folio', 'word', 'quire')},
+    "nul03_labels_in_leaf": f"""WITH {base.LINES}, a AS (SELECT folio, line_id AS slot, hand AS word FROM li WHERE folio IS NOT NULL AND hand IS NOT NULL AND split IS NOT NULL), {_shuffled('a', 'folio', 'word', 'quire', LABEL_REPS)},
 o AS (SELECT avg(CAST(x = word AS INTEGER)) AS o FROM (SELECT word, lead(word) OVER (PARTITION BY folio ORDER BY slot) AS x FROM a) WHERE x IS NOT NULL),
 n AS (SELECT rep, avg(CAST(x = word AS INTEGER)) AS rate FROM (SELECT rep, word, lead(word) OVER (PARTITION BY rep, folio ORDER BY slot) AS x FROM mv) WHERE x IS NOT NULL GROUP BY rep)
 SELECT {_AGAINST} FROM n, o GROUP BY o""",
-    "nul04_within_cells": f"""WITH {_PAGE_SLOTS} WHERE regexp_full_match(word, '[a-z]+')), {_shuffled('a', 'corpus_id, lop_id, len', 'word', 'cell')},
-oc AS (SELECT corpus_id, word, list(word) OVER (PARTITION BY lop_id ORDER BY slot ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS c FROM a),
-o AS (SELECT corpus_id, avg(CAST(len(list_filter(c, lambda x: levenshtein(word, x) <= 1)) > 0 AS INTEGER)) AS o FROM oc WHERE len(c) = 10 GROUP BY corpus_id),
-nc AS (SELECT rep, corpus_id, word, list(word) OVER (PARTITION BY rep, lop_id ORDER BY slot ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS c FROM mv),
-n AS (SELECT rep, corpus_id, avg(CAST(len(list_filter(c, lambda x: levenshtein(word, x) <= 1)) > 0 AS INTEGER)) AS rate FROM nc WHERE len(c) = 10 GROUP BY ALL)
-SELECT corpus_id, {_AGAINST} FROM n JOIN o USING (corpus_id) GROUP BY corpus_id, o""",
+    "nul04_within_cells": f"""WITH p AS (SELECT lower(trim(page_id)) AS page, locus_number, ordinal, max(struct_pack(t := loaded_at, word := trim(zl_family), currier := coalesce(trim(stratum.currier), ''), hand := coalesce(trim(stratum.hand), ''), illustration := coalesce(trim(stratum.illustration), ''), initial := coalesce(paragraph_initial, false), place := coalesce(trim(line_position), ''))) AS r FROM zg_positions WHERE valid AND trim(zl_family) <> '' GROUP BY ALL),
+a AS (SELECT page, page || '#' || {_slot_sql('locus_number', 'ordinal')} AS slot, r.word AS word, r.currier AS currier, r.hand AS hand, r.illustration AS illustration, r.initial AS initial, r.place AS place, length(r.word) AS len FROM p), {_shuffled('a', ', '.join(CELL), 'word', 'cell')},
+oc AS (SELECT currier, word, list(word) OVER (PARTITION BY page ORDER BY slot ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS c FROM a),
+o AS (SELECT currier, avg(CAST(len(list_filter(c, lambda x: levenshtein(word, x) <= 1)) > 0 AS INTEGER)) AS o FROM oc WHERE len(c) = 10 GROUP BY currier),
+nc AS (SELECT rep, currier, word, list(word) OVER (PARTITION BY rep, page ORDER BY slot ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS c FROM mv),
+n AS (SELECT rep, currier, avg(CAST(len(list_filter(c, lambda x: levenshtein(word, x) <= 1)) > 0 AS INTEGER)) AS rate FROM nc WHERE len(c) = 10 GROUP BY ALL)
+SELECT currier, {_AGAINST} FROM n JOIN o USING (currier) GROUP BY currier, o""",
     "nul05_joint_tuples": f"""WITH p AS (SELECT lower(trim(page_id)) AS page, locus_number, ordinal, max(struct_pack(t := loaded_at, place := trim(line_position), a := trim(zl_family), b := trim(gc_family))) AS r FROM zg_positions WHERE valid AND zl_family IS NOT NULL AND gc_family IS NOT NULL GROUP BY ALL),
 a AS (SELECT page, r.place AS place, page || '#' || {_slot_sql('locus_number', 'ordinal')} AS slot, r.a || '/' || r.b AS word FROM p), {_shuffled('a', 'page, place', 'word', 'joint')},
 o AS (SELECT avg(CAST(substr(x, 1, 1) = substr(word, 1, 1) AS INTEGER)) AS o FROM (SELECT word, lead(word) OVER (PARTITION BY page ORDER BY slot) AS x FROM a) WHERE x IS NOT NULL),
@@ -245,3 +256,4 @@ SELECT split, CAST(rep AS INTEGER) AS rep, count(*) AS lines, count(DISTINCT wor
 m AS (SELECT percent, array_to_string(list_transform(generate_series(1, length(word)), lambda i: CASE WHEN CAST('0x' || substr(sha256(concat_ws('|', 'm', word, i - 1)), 1, 8) AS BIGINT) / 4294967296.0 * 100 < percent THEN 'o' ELSE substr(word, i, 1) END), '') AS mutated FROM s)
 SELECT percent, count(*) AS types, count(*) FILTER (WHERE mutated IN (SELECT word FROM w)) AS known FROM m GROUP BY percent""",
 }
+SQL = {k: _WHOLE.format(v) if "AS _v" in v else v for k, v in SQL.items()}

@@ -64,13 +64,19 @@ def layers(spark, sf_dir):
     return w.groupBy(part(2).alias("core")).agg(F.count("*").alias("types"), F.sum("n").alias("tokens"), F.countDistinct(part(1)).alias("lefts"), F.countDistinct(part(3)).alias("rights"))
 
 
+#: Signs by rank, groups of signs, first and last forms of the ciphers.
+SIGNS = "oeyaidklrtsnqgpmfhbcxzuvjw"
+GROUPS = ("ol", "dy", "chy", "ar", "or", "ain", "shey", "qo", "kee", "ty")
+LEFT, RIGHT = ("qo", "o", "ch", "sh", "d"), ("dy", "y", "in", "ol", "r")
+
+
 def ciphers(spark, sf_dir):
-    """GEN-06: document words enciphered by letter rank into signs and into groups, in full and abbreviated."""
+    """GEN-06: document words enciphered by letter rank: into signs, into groups, into one of three weighted homophones a letter (drawn by hash), both also abbreviated, and with forms of their own for the first and the last letter."""
     w = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     letters = w.select("n", F.explode(F.regexp_extract_all("word", F.lit("."), F.lit(0))).alias("letter")).groupBy("letter").agg(F.sum("n").alias("n"))
     ranked = "".join(r["letter"] for r in letters.orderBy(F.desc("n"), "letter").limit(26).collect())
-    signs, groups = list("oeyaidklrtsnqgpmfhbcxzuvjw"), ["ol", "dy", "chy", "ar", "or", "ain", "shey", "qo", "kee", "ty"]
-    kinds = {"signs": generate.by_rank(F.col("word"), ranked, signs), "groups": generate.by_rank(F.col("word"), ranked, groups), "abbreviated": generate.by_rank(generate.abbreviated(F.col("word")), ranked, groups)}
+    word, short = F.col("word"), generate.abbreviated(F.col("word"))
+    kinds = {"signs": generate.by_rank(word, ranked, SIGNS), "groups": generate.by_rank(word, ranked, GROUPS), "abbreviated": generate.by_rank(short, ranked, GROUPS), "homophones": generate.homophones(word, ranked, GROUPS), "abbreviated_homophones": generate.homophones(short, ranked, GROUPS), "affixes": generate.with_affixes(word, ranked, SIGNS, LEFT, RIGHT)}
     e = w.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("cipher")) for k, c in kinds.items()])).alias("e")).select("n", "e.*")
     return e.groupBy("kind").agg(F.sum("n").alias("tokens"), F.countDistinct("cipher").alias("types"), F.sum(F.length("cipher") * F.col("n")).alias("signs"))
 
@@ -122,7 +128,13 @@ def inventories(spark, sf_dir):
     hits = test.select(F.substring("word", 1, 1).alias("p"), F.substring("word", -1, 1).alias("s"), core.alias("core")).join(train.select(F.col("word").alias("core")), "core", "left_semi").groupBy("p", "s").agg(F.count("*").alias("hits"))
     seen = test.groupBy(F.substring("word", 1, 1).alias("p"), F.substring("word", -1, 1).alias("s")).agg(F.count("*").alias("n")).join(hits, ["p", "s"], "left").na.fill(0, ["hits"])
     pairs = seen.select("p", F.col("s").alias("s1"), F.col("n").alias("n1"), F.col("hits").alias("h1")).join(seen.select("p", F.col("s").alias("s2"), F.col("n").alias("n2"), F.col("hits").alias("h2")), "p").where("s1 < s2")  # at most 26 rows a prefix
-    return pairs.select("p", "s1", "s2", (F.col("n1") + F.col("n2")).alias("n"), (F.col("h1") + F.col("h2")).alias("hits"))
+    return pairs.select("p", "s1", "s2", (F.col("n1") + F.col("n2")).alias("n"), (F.col("h1") + F.col("h2")).alias("hits")).transform(_placed)
+
+
+def _placed(scores):
+    """Rank by hits and the share of inventories with fewer; there are at most 26 x 325 of them."""
+    rank = F.rank().over(Window.orderBy(F.desc("hits")))
+    return scores.withColumn("rank", rank).withColumn("percentile", F.round(1 - F.cume_dist().over(Window.orderBy(F.desc("hits"))), 6))
 
 
 def edit_classes(spark, sf_dir):
@@ -188,10 +200,10 @@ def estimators(spark, sf_dir):
 
 
 def design_variants(spark, sf_dir):
-    """VER-13: sizes of the registers when counted by tokens, by types, by first words and by words that occur once on their page."""
+    """VER-13: sizes of the registers when counted by tokens, by types, by first words and by words that occur once on their page; by length of the words (10: or longer)."""
     w = base.words(spark, sf_dir).withColumn("label", F.col("locus_type").startswith("L")).withColumn("first", F.row_number().over(Window.partitionBy("locus_id").orderBy("pos")) == 1)
     c = w.groupBy("file", "page_id", "label", "word").agg(F.count("*").alias("c"), F.count_if("first").alias("f"))
-    return c.groupBy("file", "label").agg(F.sum("c").alias("tokens"), F.count("*").alias("types"), F.sum("f").alias("first"), F.count_if(F.col("c") == 1).alias("once"))
+    return c.groupBy("file", "label", F.least(F.length("word"), F.lit(10)).alias("length")).agg(F.sum("c").alias("tokens"), F.count("*").alias("types"), F.sum("f").alias("first"), F.count_if(F.col("c") == 1).alias("once"))
 
 
 def kept_slots(spark, sf_dir):
@@ -251,11 +263,15 @@ SQL = {
     "gen02_random_words": f"WITH t AS (SELECT unnest(generate_series(0, {FIXED - 1})) AS id) SELECT CAST([3, 4, 5, 6][CAST(floor({_u(chr(39) + 'm0' + chr(39), chr(39) + 'length' + chr(39), 'id')} * 4) AS BIGINT) + 1] AS BIGINT) AS length, count(*) AS n FROM t GROUP BY 1",
     "gen05_layers": f"""WITH {base.WORDS}, c AS (SELECT word, count(*) AS n FROM w GROUP BY word), p AS (SELECT n, regexp_extract(word, '^(.*?)({_G})(.*)$', 1) AS l, regexp_extract(word, '^(.*?)({_G})(.*)$', 2) AS core, regexp_extract(word, '^(.*?)({_G})(.*)$', 3) AS r FROM c)
 SELECT core, count(*) AS types, CAST(sum(n) AS BIGINT) AS tokens, count(DISTINCT l) AS lefts, count(DISTINCT r) AS rights FROM p GROUP BY core""",
-    "gen06_ciphers": """WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word),
+    "gen06_ciphers": f"""WITH w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM documents WHERE lang = 'en') GROUP BY word),
 l AS (SELECT letter, row_number() OVER (ORDER BY sum(n) DESC, letter) - 1 AS k FROM (SELECT unnest(regexp_extract_all(word, '.')) AS letter, n FROM w) GROUP BY letter),
-a AS (SELECT word, n, 'signs' AS kind, word AS plain FROM w UNION ALL SELECT word, n, 'groups', word FROM w UNION ALL SELECT word, n, 'abbreviated', substr(word, 1, 1) || regexp_replace(substr(word, 2), '[aeiou]', '', 'g') FROM w),
-s AS (SELECT word, n, kind, unnest(generate_series(1, length(plain))) AS i, unnest(regexp_extract_all(plain, '.')) AS letter FROM a),
-c AS (SELECT kind, word, n, string_agg(CASE WHEN kind = 'signs' THEN substr('oeyaidklrtsnqgpmfhbcxzuvjw', k + 1, 1) ELSE ['ol', 'dy', 'chy', 'ar', 'or', 'ain', 'shey', 'qo', 'kee', 'ty'][k % 10 + 1] END, '' ORDER BY i) AS cipher FROM s JOIN l USING (letter) GROUP BY ALL)
+x AS (SELECT unnest(['signs', 'groups', 'homophones', 'affixes', 'abbreviated', 'abbreviated_homophones']) AS kind),
+a AS (SELECT word, n, kind, CASE WHEN kind LIKE 'abbr%' THEN substr(word, 1, 1) || regexp_replace(substr(word, 2), '[aeiou]', '', 'g') ELSE word END AS plain FROM w, x),
+s AS (SELECT word, n, kind, plain, unnest(generate_series(1, length(plain))) AS i, unnest(regexp_extract_all(plain, '.')) AS letter FROM a),
+u AS (SELECT *, CASE WHEN kind LIKE '%homophones' THEN CAST('0x' || substr(sha256(concat_ws('|', 'homophone', plain, i - 1)), 1, 8) AS BIGINT) / 4294967296.0 END AS u FROM s JOIN l USING (letter)),
+c AS (SELECT kind, word, n, string_agg(CASE WHEN kind = 'signs' OR kind = 'affixes' AND i > 1 AND i < length(plain) THEN substr('{SIGNS}', k + 1, 1)
+  WHEN kind = 'affixes' AND i = 1 THEN {list(LEFT)}[k % {len(LEFT)} + 1] WHEN kind = 'affixes' THEN {list(RIGHT)}[k % {len(RIGHT)} + 1]
+  ELSE {list(GROUPS)}[(k + CASE WHEN u IS NULL OR u < 3/6::DOUBLE THEN 0 WHEN u < 5/6::DOUBLE THEN 26 ELSE 52 END) % {len(GROUPS)} + 1] END, '' ORDER BY i) AS cipher FROM u GROUP BY ALL)
 SELECT kind, CAST(sum(n) AS BIGINT) AS tokens, count(DISTINCT cipher) AS types, CAST(sum(length(cipher) * n) AS BIGINT) AS signs FROM c GROUP BY kind""",
     "gen07_numeral_rings": "WITH r(system, n, word) AS (VALUES " + ", ".join(f"('{s}', {n}, '{f(n)}')" for s, f in _RING for n in range(1, 31)) + "), k AS (SELECT system, CASE WHEN n <= 10 THEN 0 WHEN n <= 25 THEN 1 ELSE 2 END AS ring, word FROM r) SELECT system, ring, count(*) AS n, CAST(sum(length(word)) AS BIGINT) AS signs FROM k GROUP BY ALL",
     "itr03_backoff": f"""WITH {base.LINE_WORDS}, a AS (SELECT currier, lag(word, 2, '<BOS>') OVER o AS second, lag(word, 1, '<BOS>') OVER o AS before, word FROM lw WHERE split = 'discovery' AND currier IS NOT NULL WINDOW o AS (PARTITION BY line_id ORDER BY pos)),
@@ -265,17 +281,21 @@ p AS (SELECT *, (2 * c0 + 1) / (2 * t + v) AS p0 FROM c2 JOIN c1 USING (currier,
 SELECT currier, second, before, word, round(p0, 9) AS p0, round((c1 + p0) / (n1 + 1), 9) AS p1, round((c2 + (c1 + p0) / (n1 + 1)) / (n2 + 1), 9) AS p2 FROM p""",
     "itr04_inventories": f"""WITH {base.LINE_WORDS}, w AS (SELECT DISTINCT split, word FROM lw WHERE regexp_full_match(word, '[a-z]{{3,}}')), tr AS (SELECT DISTINCT word FROM w WHERE split = 'discovery'),
 te AS (SELECT DISTINCT word FROM w WHERE split IN ('validation', 'holdout') AND word NOT IN (SELECT word FROM tr)),
-s AS (SELECT substr(word, 1, 1) AS p, substr(word, -1) AS s, count(*) AS n, count(*) FILTER (WHERE substr(word, 2, length(word) - 2) IN (SELECT word FROM tr)) AS h FROM te GROUP BY ALL)
-SELECT a.p, a.s AS s1, b.s AS s2, a.n + b.n AS n, a.h + b.h AS hits FROM s a JOIN s b ON a.p = b.p AND a.s < b.s""",
+s AS (SELECT substr(word, 1, 1) AS p, substr(word, -1) AS s, count(*) AS n, count(*) FILTER (WHERE substr(word, 2, length(word) - 2) IN (SELECT word FROM tr)) AS h FROM te GROUP BY ALL),
+i AS (SELECT a.p, a.s AS s1, b.s AS s2, a.n + b.n AS n, a.h + b.h AS hits FROM s a JOIN s b ON a.p = b.p AND a.s < b.s)
+SELECT *, rank() OVER (ORDER BY hits DESC) AS rank, round(1 - cume_dist() OVER (ORDER BY hits DESC), 6) AS percentile FROM i""",
     "str01_edit_classes": f"{_AFTER} WHERE regexp_full_match(word, '[a-z]+')) SELECT split, CAST(least(levenshtein(word, after), 2) AS INTEGER) AS edit_class, count(*) AS n, round(avg(1 - levenshtein(word, after) / greatest(length(word), length(after))), 6) AS similarity FROM a WHERE after IS NOT NULL GROUP BY ALL",
     "ver07_affix_similarity": f"{_AFTER}), p AS (SELECT split, word, after, (SELECT count(*) FROM unnest(generate_series(1, least(length(word), length(after)))) AS g(i) WHERE substr(word, 1, i) = substr(after, 1, i)) AS prefix, (SELECT count(*) FROM unnest(generate_series(1, least(length(word), length(after)))) AS g(i) WHERE right(word, i) = right(after, i)) AS suffix FROM a WHERE after IS NOT NULL) SELECT split, prefix, suffix, count(*) AS n, round(avg(least(prefix + suffix, length(word), length(after)) / greatest(length(word), length(after))), 6) AS affixes FROM p GROUP BY ALL",
     "ver08_circular_gaps": f"WITH {base.LINE_WORDS}, a AS (SELECT line_id, pos, word, count(*) OVER (PARTITION BY line_id) AS size FROM lw) SELECT least(y.pos - x.pos, x.size - (y.pos - x.pos)) AS gap, count(*) AS n FROM a x JOIN a y ON x.line_id = y.line_id AND x.word = y.word AND x.pos < y.pos GROUP BY 1",
+    "ver10_binomial_tails": f"""WITH {base.LINES}, l AS (SELECT hand, CAST(words[1] LIKE 'q%' AS INTEGER) AS q FROM li WHERE hand IS NOT NULL AND len(words) > 0), t AS (SELECT avg(q) AS p FROM l), g AS (SELECT hand, CAST(sum(q) AS BIGINT) AS k, count(*) AS n FROM l GROUP BY hand),
+i AS (SELECT hand, k, n, p, unnest(generate_series(k, n)) AS i FROM g, t)
+SELECT hand, k, n, round(CASE WHEN k = 0 OR p >= 1 THEN 1.0::DOUBLE ELSE sum(CASE WHEN p <= 0 THEN 0 ELSE exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(p) + (n - i) * ln(1 - p)) END) END, 6) AS upper FROM i GROUP BY hand, k, n, p""",
     "ver12_estimators": f"""WITH {_STRATA}, x AS (SELECT *, (a + b) * (a + c) / n * (c + d) * (b + d) / n / (n * n) AS k FROM st WHERE a + c < n),
 ev AS (SELECT unit, 'uncorrected' AS estimator, a * d / n AS r, b * c / n AS q FROM x UNION ALL SELECT unit, 'flat', (a + 0.5::DOUBLE) * (d + 0.5::DOUBLE) / (n + 2), (b + 0.5::DOUBLE) * (c + 0.5::DOUBLE) / (n + 2) FROM x
       UNION ALL SELECT unit, 'kappa ' || kappa, a * d / n + kappa * k, b * c / n + kappa * k FROM x, (SELECT unnest([0.5, 1.0, 2.0])::DOUBLE AS kappa)),
 g AS (SELECT unit, estimator, sum(r) AS r, sum(q) AS q FROM ev GROUP BY ALL) SELECT unit, estimator, round(CASE WHEN r > 0 AND q > 0 THEN ln(r / q) END, 6) AS log_or FROM g""",
     "ver13_design_variants": f"""WITH {base.WORDS}, f AS (SELECT *, row_number() OVER (PARTITION BY locus_id ORDER BY pos) = 1 AS first FROM w), c AS (SELECT file, page_id, locus_type LIKE 'L%' AS label, word, count(*) AS c, count(*) FILTER (WHERE first) AS f FROM f GROUP BY ALL)
-SELECT file, label, CAST(sum(c) AS BIGINT) AS tokens, count(*) AS types, CAST(sum(f) AS BIGINT) AS first, count(*) FILTER (WHERE c = 1) AS once FROM c GROUP BY ALL""",
+SELECT file, label, CAST(least(length(word), 10) AS INTEGER) AS length, CAST(sum(c) AS BIGINT) AS tokens, count(*) AS types, CAST(sum(f) AS BIGINT) AS first, count(*) FILTER (WHERE c = 1) AS once FROM c GROUP BY ALL""",
     "ver14_kept_slots": f"""WITH {base.LOCI}, l AS (SELECT file, page_id, number, locus_id, coalesce(len({base.CLEAN}) > 0, false) AS f FROM loc WHERE locus_type LIKE 'L%'),
 k AS (SELECT *, row_number() OVER o AS slot, sum(CAST(f AS BIGINT)) OVER o AS closed FROM l WINDOW o AS (PARTITION BY file, page_id ORDER BY number, locus_id))
 SELECT file, count(*) AS labels, count(*) FILTER (WHERE slot <> closed) AS shifted, CAST(max(slot - closed) AS BIGINT) AS most FROM k WHERE f GROUP BY file""",

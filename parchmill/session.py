@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,13 @@ _written: list[tuple[SparkSession, str]] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, a laptop) a local temporary folder takes its place.
+    Only where that setting is missing and Spark runs in this process alone (tests, a laptop) a local temporary folder takes its
+    place; on a cluster a missing setting is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="parchmill-")
         spark.conf.set("spark.checkpoint.dir", shared)
         _written.append((spark, shared))
