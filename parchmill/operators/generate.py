@@ -180,10 +180,26 @@ def greek(n: int) -> str:
     return GREEK_TENS[n // 10] + GREEK_UNITS[n % 10]
 
 
+#: The numbers from 1 to 30 in five languages.
+NUMBER_WORDS = {
+    "english": "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty twentyone twentytwo twentythree twentyfour twentyfive twentysix twentyseven twentyeight twentynine thirty".split(),
+    "latin": "unus duo tres quattuor quinque sex septem octo novem decem undecim duodecim tredecim quattuordecim quindecim sedecim septendecim duodeviginti undeviginti viginti vigintiunus vigintiduo vigintitres vigintiquattuor vigintiquinque vigintisex vigintiseptem vigintiocto vigintinovem triginta".split(),
+    "italian": "uno due tre quattro cinque sei sette otto nove dieci undici dodici tredici quattordici quindici sedici diciassette diciotto diciannove venti ventuno ventidue ventitre ventiquattro venticinque ventisei ventisette ventotto ventinove trenta".split(),
+    "german": "eins zwei drei vier fuenf sechs sieben acht neun zehn elf zwoelf dreizehn vierzehn fuenfzehn sechzehn siebzehn achtzehn neunzehn zwanzig einundzwanzig zweiundzwanzig dreiundzwanzig vierundzwanzig fuenfundzwanzig sechsundzwanzig siebenundzwanzig achtundzwanzig neunundzwanzig dreissig".split(),
+    "french": "un deux trois quatre cinq six sept huit neuf dix onze douze treize quatorze quinze seize dixsept dixhuit dixneuf vingt vingtetun vingtdeux vingttrois vingtquatre vingtcinq vingtsix vingtsept vingthuit vingtneuf trente".split(),
+}
+SYSTEMS: dict[str, Callable[[int], str]] = {
+    **{name: (lambda n, w=w: w[n - 1]) for name, w in NUMBER_WORDS.items()},
+    "roman": roman,
+    "greek": greek,
+    "ordinal": lambda n: "d" + roman(n),
+}
+
+
 def numerals(spark: SparkSession, sizes: list[int], cyclic: bool = True) -> DataFrame:
-    """(system, ring, place, word): numbers 1 to 30 of each system laid on rings of the given sizes, on and on or afresh."""
+    """(system, ring, place, word): numbers 1 to 30 of each of eight systems laid on rings of the given sizes, on and on or afresh."""
     rows = []
-    for name, f in (("roman", roman), ("greek", greek), ("ordinal", lambda n: "d" + roman(n))):
+    for name, f in SYSTEMS.items():
         at = 0
         for r, size in enumerate(sizes):
             for k in range(size):

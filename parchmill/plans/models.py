@@ -255,7 +255,7 @@ def _u(*parts: str) -> str:
 _SYLLABLES = " || ".join(_pick(p, _u("'syllables'", f"'{k}{n}'", "id")) for k in range(2) for n, p in (("onset", generate.ONSETS), ("nucleus", generate.NUCLEI), ("coda", generate.CODAS)))
 _PLAIN = " ".join(generate.SENTENCES).split()
 _G = "|".join(corpus.GALLOWS)
-_RING = [("roman", generate.roman), ("greek", generate.greek), ("ordinal", lambda n: "d" + generate.roman(n))]
+_RING = list(generate.SYSTEMS.items())
 
 SQL = {
     "gen01_known_text": f"WITH t AS (SELECT unnest(generate_series(0, {FIXED - 1})) AS pos) SELECT {_PLAIN!r}[pos % {len(_PLAIN)} + 1] AS word, count(*) AS n, min(pos) AS first FROM t GROUP BY 1",

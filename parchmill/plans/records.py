@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parchmill.functions import plugins
 from parchmill.operators.order import global_rank
 from parchmill.plans import base
-from parchmill.session import table
-from parchmill.sources import sinks, transcription
+from parchmill.session import scratch_path, table
+from parchmill.sources import files, sinks, transcription
 from parchmill.streaming import replay
 
 
@@ -49,8 +52,31 @@ def lenient_scan(spark, sf_dir):
 
 def row_digests(spark, sf_dir):
     """SNK-01, JSN-03: digest of a row as canonical JSON, and that of a part of its columns."""
-    o = table(spark, sf_dir, "nation")
-    return o.select("n_nationkey", sinks.digest(o).alias("whole"), sinks.digest(o, "n_name", "n_regionkey").alias("part"))
+    o = table(spark, sf_dir, "eligible_lines").select("line_id", "page_id", "locus_number", "source_file", "split")
+    return o.select("line_id", sinks.digest(o).alias("whole"), sinks.digest(o, "page_id", "split").alias("part"))
+
+
+def pruned_results(spark, sf_dir):
+    """SNK-04: results without the named members, nested ones too, before they are reported."""
+    e = sinks.pruned(table(spark, sf_dir, "entry_results"), "jaccard_distant", "page_unique_share", "computed_at")
+    return e.groupBy("corpus_id").agg(F.max(F.to_json("results")).alias("results"), F.count("*").alias("rows"))
+
+
+def json_lines(spark, sf_dir):
+    """SNK-06, SRC-14: pages with their lines written as sorted JSON lines, read again as a collection, and the nested lines lifted; keys that repeat are counted."""
+    l = table(spark, sf_dir, "eligible_lines").where("page_id IS NOT NULL").groupBy("line_id").agg(F.max(F.struct("page_id", "locus_number")).alias("r")).select("line_id", F.lower(F.trim("r.page_id")).alias("page_id"), "r.locus_number")
+    path = scratch_path(spark, "collection")
+    sinks.write_json(l.groupBy("page_id", F.col("locus_number").alias("part")).agg(F.array_sort(F.collect_list(F.struct("line_id"))).alias("lines")), path)
+    back = files.records(spark, path, "page_id STRING, part INT, lines ARRAY<STRUCT<line_id: BIGINT>>", lines=True)
+    lifted = files.lifted(back, "lines", "page_id")
+    repeated = files.repeated_keys(back, "page_id").withColumnRenamed("n", "times")
+    return lifted.groupBy("page_id").agg(F.count("*").alias("lines"), F.min("line_id").alias("first")).join(repeated, "page_id", "left").select("page_id", "lines", "first", F.coalesce("times", F.lit(1).cast("long")).alias("times"))
+
+
+def decided_rows(spark, sf_dir):
+    """UDF-02: documents that a caller's predicate lets through, which is asked once for each combination of language and source."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return plugins.decided(d, lambda lang, source: lang is not None and re.fullmatch("[a-z]{2}", lang) is not None and source is not None, "lang", "source").groupBy("lang", "source").agg(F.count("*").alias("documents"))
 
 
 def absent_rows(spark, sf_dir):
@@ -209,6 +235,9 @@ QUERIES = {
     "src02_baseline_rules": baseline_rules,
     "src03_lenient_scan": lenient_scan,
     "snk01_row_digests": row_digests,
+    "snk04_pruned_results": pruned_results,
+    "snk06_json_lines": json_lines,
+    "udf02_decided_rows": decided_rows,
     "snk05_absent_rows": absent_rows,
     "jsn01_schema_issues": schema_issues,
     "jsn04_structure_counts": structure_counts,
@@ -245,7 +274,13 @@ SELECT file, page_id, number, locator, locus_type, transcriber, regexp_replace(t
 SELECT file, count(*) FILTER (WHERE NOT regexp_full_match(text, '[\x00-\x7f]*')) AS not_ascii, count(*) FILTER (WHERE length(text) > 80) AS over_80, count(*) FILTER (WHERE c > 1) AS repeated_place FROM c GROUP BY file""",
     "src03_lenient_scan": f"""WITH {base.LOCI} SELECT file, substr(locus_type, 1, 1) AS kind, substr(locus_type, 2, 1) AS sub, count(*) AS loci, count(*) FILTER (WHERE contains(text, '<%>')) AS starts, count(*) FILTER (WHERE contains(text, '<$>')) AS ends,
 CAST(sum(len(regexp_extract_all(text, '<![^>]*>'))) AS BIGINT) AS comments FROM loc WHERE regexp_matches(page_id, '^f[0-9]+') GROUP BY ALL""",
-    "snk01_row_digests": """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS whole, sha256('{"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}') AS part FROM nation""",
+    "snk01_row_digests": """SELECT line_id, sha256('{' || array_to_string(list_filter([CASE WHEN line_id IS NOT NULL THEN '"line_id":' || line_id END, CASE WHEN locus_number IS NOT NULL THEN '"locus_number":' || locus_number END, CASE WHEN page_id IS NOT NULL THEN '"page_id":"' || replace(replace(replace(page_id, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(9), chr(92) || 't') || '"' END, CASE WHEN source_file IS NOT NULL THEN '"source_file":"' || replace(replace(replace(source_file, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(9), chr(92) || 't') || '"' END, CASE WHEN split IS NOT NULL THEN '"split":"' || replace(replace(replace(split, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(9), chr(92) || 't') || '"' END], lambda x: x IS NOT NULL), ',') || '}') AS whole,
+sha256('{' || array_to_string(list_filter([CASE WHEN page_id IS NOT NULL THEN '"page_id":"' || replace(replace(replace(page_id, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(9), chr(92) || 't') || '"' END, CASE WHEN split IS NOT NULL THEN '"split":"' || replace(replace(replace(split, chr(92), chr(92) || chr(92)), '"', chr(92) || '"'), chr(9), chr(92) || 't') || '"' END], lambda x: x IS NOT NULL), ',') || '}') AS part FROM eligible_lines""",
+    "snk04_pruned_results": """SELECT corpus_id, max('{"real":{' || array_to_string(list_filter([CASE WHEN results.real.pages IS NOT NULL THEN '"pages":' || results.real.pages END, CASE WHEN results.real.tokens IS NOT NULL THEN '"tokens":' || results.real.tokens END,
+CASE WHEN results.real.types IS NOT NULL THEN '"types":' || results.real.types END, CASE WHEN results.real.jaccard_adjacent IS NOT NULL THEN '"jaccard_adjacent":' || results.real.jaccard_adjacent END], lambda x: x IS NOT NULL), ',') || '}}') AS results, count(*) AS rows FROM entry_results GROUP BY corpus_id""",
+    "snk06_json_lines": f"""WITH l AS (SELECT line_id, max(struct_pack(p := page_id, n := locus_number)) AS r FROM eligible_lines WHERE page_id IS NOT NULL GROUP BY line_id)
+SELECT lower(trim(r.p)) AS page_id, count(*) AS lines, min(line_id) AS first, count(DISTINCT coalesce(CAST(r.n AS VARCHAR), 'none')) AS times FROM l GROUP BY 1""",
+    "udf02_decided_rows": "SELECT lang, source, count(*) AS documents FROM documents WHERE regexp_full_match(lang, '[a-z]{2}') AND source IS NOT NULL GROUP BY ALL",
     "snk05_absent_rows": "WITH k AS (SELECT 1 AS t, concat_ws('/', lower(trim(page_id, ' ' || chr(9))), locus_number, ordinal) AS key FROM zg_positions UNION ALL SELECT 2, concat_ws('/', lower(trim(page_id, ' ' || chr(9))), locus_number, ordinal) FROM zg_positions_copy) SELECT key FROM k GROUP BY key HAVING min(t) = 2",
     "jsn01_schema_issues": """WITH e AS (SELECT event_type, value, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events), i AS (
 SELECT 'event_type' AS path, 'unknown_value' AS code FROM e WHERE event_type NOT IN ('click', 'view', 'purchase') UNION ALL SELECT 'value', 'out_of_range' FROM e WHERE value > 50

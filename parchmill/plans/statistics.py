@@ -291,11 +291,25 @@ def ring_index(spark, sf_dir):
 
 
 def gap_similarity(spark, sf_dir):
-    """WIN-08: similarity of words at gap one minus that at gaps of three and more, within lines."""
+    """WIN-08: similarity of words at gap one minus that at gaps of three and more, within lines, and Spearman's rho of gap and similarity.
+
+    Midranks come from the counts of distinct gaps and similarities, of which there are few however many pairs.
+    """
     w = _line_words(spark, sf_dir).where("word RLIKE '^[a-z]+$'").select("line_id", "split", "pos", "word")
     p = w.join(w.select("line_id", F.col("pos").alias("q"), F.col("word").alias("other")), "line_id").where("pos < q")
-    p = p.withColumn("sim", 1 - F.levenshtein("word", "other") / F.greatest(F.length("word"), F.length("other"))).withColumn("gap", F.col("q") - F.col("pos"))
-    return p.groupBy("split").agg(F.count("*").alias("pairs"), _r(F.avg(F.when(F.col("gap") == 1, F.col("sim"))) - F.avg(F.when(F.col("gap") >= 3, F.col("sim")))).alias("difference"))
+    sim = F.round(1 - F.levenshtein("word", "other") / F.greatest(F.length("word"), F.length("other")), 9)
+    g = p.groupBy(F.coalesce("split", F.lit("")).alias("split"), (F.col("q") - F.col("pos")).alias("gap"), sim.alias("sim")).agg(F.count("*").alias("c"))
+
+    def midranks(of: str):
+        k = g.groupBy("split", of).agg(F.sum("c").alias("k"))
+        return k.select("split", of, (F.sum("k").over(Window.partitionBy("split").orderBy(of)) - (F.col("k") - 1) / 2).alias(f"r_{of}"))
+
+    r = g.join(midranks("gap"), ["split", "gap"]).join(midranks("sim"), ["split", "sim"])
+    x, y, c = F.col("r_gap"), F.col("r_sim"), F.col("c")
+    t = r.groupBy("split").agg(F.sum("c").alias("pairs"), (F.sum(F.when(F.col("gap") == 1, F.col("sim") * c)) / F.sum(F.when(F.col("gap") == 1, c)) - F.sum(F.when(F.col("gap") >= 3, F.col("sim") * c)) / F.sum(F.when(F.col("gap") >= 3, c))).alias("d"), F.sum(c * x * y).alias("xy"), F.sum(c * x * x).alias("xx"), F.sum(c * y * y).alias("yy"))
+    shift = F.col("pairs") * F.pow((F.col("pairs") + 1) / 2, F.lit(2))
+    spread = F.sqrt((F.col("xx") - shift) * (F.col("yy") - shift))
+    return t.select("split", "pairs", _r("d").alias("difference"), _r(F.when(spread > 0, (F.col("xy") - shift) / spread)).alias("rho"))
 
 
 def ngrams(spark, sf_dir):
@@ -488,9 +502,10 @@ SELECT file, page_id, paragraph, count(*) AS lines, max(coalesce(paragraph_end,
     "win04_ring_index": f"""WITH {base.LOCI}, r AS (SELECT *, CAST(sum(CAST(coalesce(locator, '') = '@' AS BIGINT)) OVER (PARTITION BY file, page_id ORDER BY number, locus_id) AS BIGINT) AS ring FROM loc WHERE locus_type LIKE 'L%' OR locus_type LIKE 'R%'),
 k AS (SELECT locus_id, ring, row_number() OVER (PARTITION BY file, page_id, ring ORDER BY number, locus_id) AS k, count(*) OVER (PARTITION BY file, page_id, ring) AS size FROM r)
 SELECT locus_id, ring, k, least(2, (k - 1) // 10) AS block, least(2, 3 * (k - 1) // size) AS third FROM k""",
-    "win08_gap_similarity": f"""WITH {base.LINE_WORDS}, a AS (SELECT line_id, split, pos, word FROM lw WHERE regexp_full_match(word, '[a-z]+')),
-p AS (SELECT x.split, y.pos - x.pos AS gap, 1 - levenshtein(x.word, y.word) / greatest(length(x.word), length(y.word)) AS sim FROM a x JOIN a y ON x.line_id = y.line_id AND x.pos < y.pos)
-SELECT split, count(*) AS pairs, round(avg(CASE WHEN gap = 1 THEN sim END) - avg(CASE WHEN gap >= 3 THEN sim END), 6) AS difference FROM p GROUP BY split""",
+    "win08_gap_similarity": f"""WITH {base.LINE_WORDS}, a AS (SELECT line_id, coalesce(split, '') AS split, pos, word FROM lw WHERE regexp_full_match(word, '[a-z]+')),
+p AS (SELECT x.split, y.pos - x.pos AS gap, round(1 - levenshtein(x.word, y.word) / greatest(length(x.word), length(y.word)), 9) AS sim FROM a x JOIN a y ON x.line_id = y.line_id AND x.pos < y.pos),
+r AS (SELECT *, rank() OVER (PARTITION BY split ORDER BY gap) + (count(*) OVER (PARTITION BY split, gap) - 1) / 2 AS x, rank() OVER (PARTITION BY split ORDER BY sim) + (count(*) OVER (PARTITION BY split, sim) - 1) / 2 AS y FROM p)
+SELECT split, count(*) AS pairs, round(avg(CASE WHEN gap = 1 THEN sim END) - avg(CASE WHEN gap >= 3 THEN sim END), 6) AS difference, round(corr(x, y), 6) AS rho FROM r GROUP BY split""",
     "win09_ngrams": f"""WITH {base.LINE_WORDS}, a AS (SELECT * FROM lw WHERE split = 'discovery'), c AS (SELECT word, count(*) AS c FROM a GROUP BY word),
 t AS (SELECT line_id, pos, CASE WHEN c = 1 THEN '<UNK>' ELSE word END AS t FROM a JOIN c USING (word)),
 g AS (SELECT lag(t, 2, '<BOS>') OVER o AS h2, lag(t, 1, '<BOS>') OVER o AS h1, t FROM t WINDOW o AS (PARTITION BY line_id ORDER BY pos))

@@ -28,6 +28,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, which is removed when the driver ends."""
+    path = f"{scratch_dir(spark)}/parchmill-{uuid.uuid4().hex}/{name}"
+    _written.append((spark, path.rsplit("/", 1)[0]))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
@@ -35,9 +42,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The files are removed when the driver ends.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/parchmill-{uuid.uuid4().hex}/{name}"
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path.rsplit("/", 1)[0]))
     return spark.read.schema(df.schema).parquet(path)
 
 

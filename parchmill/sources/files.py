@@ -43,6 +43,16 @@ def canvases(manifest: DataFrame, column: str = "json") -> DataFrame:
     return m.select("ordinal", F.try_element_at(label, F.lit(1)).alias("label"), F.col("c.id").alias("canvas_id"), body["id"].alias("image_id"), service.alias("image_service_id"), F.col("c.width").alias("width"), F.col("c.height").alias("height"))
 
 
-def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of all JSON files below ``path``, single ones and arrays, with the file they come from."""
-    return spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_name"))
+def lifted(records: DataFrame, nested: str, *keys: str) -> DataFrame:
+    """A row per member of a nested collection, with the keys of the record that holds it; records without members give none."""
+    return records.select(*keys, F.explode(nested).alias("_m")).select(*keys, "_m.*")
+
+
+def repeated_keys(records: DataFrame, key: str) -> DataFrame:
+    """(key, n) of the keys that more than one record has; a collection is sound if there are none."""
+    return records.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def records(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Records of all JSON files below ``path``, single ones and arrays, or one a line, with the file they come from."""
+    return spark.read.schema(schema).option("multiLine", not lines).option("recursiveFileLookup", True).json(path).withColumn("file", F.col("_metadata.file_name"))
