@@ -28,6 +28,11 @@ def packed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unpack(spread(table(spark, sf_dir, "loci").select("locus_id", "text")), "locus_id", "text").select("locus_id", "pos", "value")
 
 
+def packed_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each value was written (bare, quoted, bracketed, mixed), and whether it has a mark without partner."""
+    return unpack(spread(table(spark, sf_dir, "loci").select("locus_id", "text")), "locus_id", "text").select("locus_id", "pos", "kind", "malformed")
+
+
 def packed_value_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many values were bare, quoted, bracketed or mixed, and how many had a mark without partner."""
     values = unpack(spread(table(spark, sf_dir, "loci").select("locus_id", "text")), "locus_id", "text")
@@ -39,6 +44,7 @@ QUERIES = {
     "p1_totals": difference_totals,
     "p4_found": packed_values,
     "p4_kinds": packed_value_kinds,
+    "p4_marks": packed_marks,
 }
 
 _B = "' ' || chr(9)"
@@ -71,7 +77,21 @@ v AS (SELECT locus_id, list_filter(list_transform(
 SELECT locus_id, CAST(unnest(generate_series(1, len(vs))) AS INTEGER) AS pos, unnest(vs) AS value FROM v
 """
 
+_MARKED = r'"(?:""|[^"])*"|\[[^\]]*\]|\{[^}]*\}'
+_MARKS = rf"""
+WITH t AS (SELECT locus_id, max(text) AS text FROM loci GROUP BY locus_id),
+v AS (SELECT locus_id, list_filter(list_transform(
+        regexp_extract_all(regexp_replace(regexp_replace(text, '<[-~]>', '.', 'g'), '<[^>]*>', '', 'g'), '{_VALUE}'),
+        lambda x: struct_pack(v := replace(regexp_replace(replace(x, '""', chr(57344)), '"([^"]*)"', '\1', 'g'), chr(57344), '"'), x := x, r := regexp_replace(x, '{_MARKED}', '', 'g'))), lambda s: s.v <> '') AS vs
+      FROM t WHERE text IS NOT NULL),
+p AS (SELECT locus_id, CAST(unnest(generate_series(1, len(vs))) AS INTEGER) AS pos, unnest(vs) AS s FROM v)
+SELECT locus_id, pos, CASE WHEN s.x = s.r THEN 'bare' WHEN regexp_full_match(s.x, '"(?:""|[^"])*"') THEN 'quoted' WHEN regexp_full_match(s.x, '\[[^\]]*\]|\{{[^}}]*\}}') THEN 'bracketed' ELSE 'mixed' END AS kind,
+       regexp_matches(s.r, '["\[{{]') AS malformed FROM p
+"""
+
 SQL = {
+    "p4_marks": _MARKS,
+    "p4_kinds": f"SELECT kind, count(*) AS n, CAST(sum(CAST(malformed AS BIGINT)) AS BIGINT) AS malformed FROM ({_MARKS}) GROUP BY kind",
     "p1_found": _DIFFERENCES,
     "p1_totals": f"SELECT difference, count(*) AS n, count(DISTINCT page_id) AS pages FROM ({_DIFFERENCES}) GROUP BY 1",
     "p4_found": _VALUES,
