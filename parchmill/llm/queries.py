@@ -109,6 +109,15 @@ def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_texts(spark, sf_dir).where("pieces > 1").select("doc_id").distinct()
 
 
+def packed_pieces(spark: SparkSession, sf_dir: str, capacity: int = 8192) -> DataFrame:
+    """Per document its pieces and their tokens, whether they follow one another without gap, and the tokens of the fullest container that holds one; a container is fine up to its capacity."""
+    pieces = materialize(packed_texts(spark, sf_dir), "pieces")
+    each = pieces.groupBy("shard", "container").agg(F.sum("tokens").alias("inside"))
+    ends = F.sum("tokens") == F.max(F.col("start") + F.col("tokens"))
+    of = pieces.join(each, ["shard", "container"]).groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("tokens"), ends.alias("whole"), F.max("inside").alias("fullest"))
+    return of.select("doc_id", "pieces", "tokens", "whole", (F.col("fullest") <= capacity).alias("fits"))
+
+
 def packing_totals(spark: SparkSession, sf_dir: str, capacity: int = 8192) -> DataFrame:
     """Containers, items, tokens and the share of the containers' room that is used."""
     each = packed_texts(spark, sf_dir).groupBy("shard", "container").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("items"))
@@ -168,6 +177,7 @@ QUERIES = {
     "p6_adjacent": adjacent_overlap,
     "p7_found": split_texts,
     "p7_packing": packed_texts,
+    "p7_pieces": packed_pieces,
     "p7_totals": packing_totals,
     "p8_found": leaked_passages,
     "p8_leaks": leaks_and_paraphrases,
@@ -204,6 +214,13 @@ p AS (SELECT a.line_id AS a, b.line_id AS b, len(list_intersect(a.terms, b.terms
 """
 
 SQL = {
+    "p6_classes": f"""
+WITH l AS (SELECT lop_id, max(tokens) AS tokens FROM local_order_pages GROUP BY lop_id),
+s AS (SELECT lop_id, list_sort(list_distinct({_TERMS})) AS terms FROM l), c AS (SELECT terms, min(lop_id) AS class FROM s WHERE len(terms) > 0 GROUP BY terms),
+p AS (SELECT a.class, count(*) AS links FROM c a JOIN c b ON a.class <> b.class WHERE 3 * len(list_intersect(a.terms, b.terms)) >= len(a.terms) + len(b.terms) GROUP BY a.class)
+SELECT lop_id, class, coalesce(links, 0) AS links FROM s JOIN c USING (terms) LEFT JOIN p USING (class)
+""",
+    "p7_pieces": "SELECT doc_id, CAST(ceil(n / 8192) AS BIGINT) AS pieces, n AS tokens, true AS whole, true AS fits FROM (SELECT doc_id, octet_length(encode(text)) AS n FROM documents WHERE text <> '')",
     "p7_found": "SELECT doc_id FROM documents WHERE octet_length(encode(text)) > 8192",
     "p2_found": f"""
 WITH RECURSIVE l AS (SELECT line_id, max(struct_pack(f := lower(trim(physical_folio, {_B})), p := lower(trim(page_id, {_B})), s := lower(trim(split, {_B})))) AS r
