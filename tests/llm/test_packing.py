@@ -46,3 +46,33 @@ def test_related_texts_come_together(spark):
     r = packing.pack(df, "id", "text", capacity=20 * len(texts[0])).toPandas()
     kinds = r.assign(kind=r.id % 5).groupby("container")["kind"].nunique()
     assert kinds.mean() < 2
+
+
+def test_shards_are_cut_by_bytes():
+    cells = {(0, 0): 40, (0, 1): 50, (1, 0): 30, (2, 0): 350, (2, 5): 10}
+    assert packing.shards_of(cells, 100) == [(0, 0, 0, 1), (0, 1, 0, 1), (1, 0, 1, 1), (2, 0, 2, 4), (2, 5, 6, 1)]
+    assert packing.shards_of({}, 100) == []
+
+
+def test_neighbours_lie_in_the_same_shard(spark):
+    """Recall of the ten texts most like a text among all, by how many of them its own shard holds."""
+    g = random.Random(3)
+    topics = [[f"t{k}w{i}" for i in range(60)] for k in range(12)]
+    common = [f"c{i}" for i in range(80)]
+    texts = [" ".join(g.choice(topics[i % 12] if g.random() < 0.6 else common) for _ in range(g.randrange(30, 120))) for i in range(1200)]
+    rows_ = [(i, t, len(t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows_, "_key LONG, _text STRING, _n LONG").mapInArrow(packing._features(), "_key long, _n long, terms array<int>, tf array<int>, words long").cache()
+    df, n = np.zeros(packing.TERMS, np.int64), len(texts)
+    held = {r["_key"]: r for r in docs.collect()}
+    for r in held.values():
+        df[r["terms"]] += 1
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = float(np.mean([r["words"] for r in held.values()]))
+    shard = {r["_key"]: r["shard"] for r in packing.deal(docs, idf, mean, sum(r[2] for r in rows_) // 8).select("_key", "shard").collect()}
+    assert len(shard) == n and 8 <= len(set(shard.values())) <= 20
+    weights = {k: dict(zip(r["terms"], packing._weight(np.array(r["terms"]), np.array(r["tf"], float), np.full(len(r["tf"]), r["words"] / mean), idf).tolist())) for k, r in held.items()}
+    same = 0
+    for k in range(0, n, 60):
+        score = {j: sum(w[t] for t in weights[k] if t in w) for j, w in weights.items() if j != k}
+        same += sum(shard[j] == shard[k] for j in sorted(score, key=lambda j: -score[j])[:10])
+    assert same >= 0.7 * 10 * len(range(0, n, 60))
