@@ -82,3 +82,11 @@ def test_deliveries_nulls_and_empty(spark):
     assert got == sorted([(1, 1, "a"), (1, 2, "b"), (None, 1, "c"), (5, 1, "é"), (5, 2, "ü"), (5, 3, "ß")], key=repr)
     assert dict(unpack_lists(df, "id", "t").collect())[2] == []
     assert unpack(df.limit(0), "id", "t").count() == 0
+
+
+def test_doubled_marks_behind_one_that_does_not_close():
+    """The open mark is an ordinary character; the doubled ones behind it are an empty quotation, not a mark within one."""
+    from parchmill.operators.packed import Grammar
+
+    assert Grammar().parse('say "x""y') == [("say", "bare", False), ('"xy', "mixed", True)]
+    assert Grammar().parse('"a""b".""c') == [('a"b', "quoted", False), ("c", "mixed", False)]
