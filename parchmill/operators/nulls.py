@@ -19,16 +19,19 @@ def replicates(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(n))))
 
 
-def shuffled(df: DataFrame, n: int, cell: list[str], slot: str, values: list[str], seed: str, stay: list[str] | None = None) -> DataFrame:
+def shuffled(df: DataFrame, n: int, cell: list[str], slot: str, values: list[str], seed: str, stay: list[str] | None = None, many: bool = False) -> DataFrame:
     """(rep, cell..., slot, stay..., values...): the values of each cell moved to other slots of it, jointly, n times.
 
     One sort by cell and replicate gives the places; values are brought back by their place, so slots and the columns that
     ``stay`` with them keep their meaning. ``slot`` is unique in the table; rows with a null in a cell column are left out.
     The slots are as many as the rows, which an estimate from small files doesn't see; they are never broadcast.
+    Hashes are made after the exchange. With ``many`` cells of bounded size the exchange is of the rows alone and each task makes
+    the replicates of its cells; else of the replicates.
     """
     c = Window.partitionBy(*cell)
     slots = df.select(*cell, slot, *(stay or []), F.row_number().over(c.orderBy(slot)).alias("_at")).hint("merge")
-    moved = replicates(df.select(*cell, slot, *values), n)
+    moved = df.select(*cell, slot, *values)
+    moved = replicates(moved.repartition(*cell), n) if many else replicates(moved, n).repartition("rep", *cell)
     order = Window.partitionBy("rep", *cell).orderBy(hash_order(seed, F.col("rep"), F.col(slot)))
     moved = moved.select("rep", *cell, *values, F.row_number().over(order).alias("_at"))
     return moved.join(slots, [*cell, "_at"]).drop("_at")

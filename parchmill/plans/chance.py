@@ -90,8 +90,7 @@ def recut_pages(spark, sf_dir):
         after = F.lead("types").over(Window.partitionBy(*by, "corpus_id").orderBy("page_ord", "lop_id"))
         return pages.withColumn("after", after).where("after IS NOT NULL").groupBy(*by, "corpus_id").agg(F.avg(stats.jaccard(F.col("types"), F.col("after"))).alias("rate"))
 
-    places = w.select("slot", "lop_id", "page_ord")
-    null = nulls.shuffled(w.select("corpus_id", "slot", "word"), REPS, ["corpus_id"], "slot", ["word"], "recut").join(places, "slot")
+    null = nulls.shuffled(w, REPS, ["corpus_id"], "slot", ["word"], "recut", ["lop_id", "page_ord"], many=True)
     return nulls.against(overlap(w, []), overlap(null, ["rep"]), ["corpus_id"], "rate")
 
 
