@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,19 +63,36 @@ def binomial_upper(k: pd.Series, n: pd.Series, p: pd.Series) -> pd.Series:
     return pd.Series([1 - binomial_cdf(int(x) - 1, int(y), float(q)) for x, y, q in zip(k, n, p)], dtype="float64")
 
 
+def convolved(parts: list[np.ndarray]) -> np.ndarray:
+    """Distribution of the sum of independent counts: neighbours are joined, shortest first, long ones by Fourier transforms."""
+    queue = sorted(parts, key=len) or [np.ones(1)]
+    while len(queue) > 1:
+        joined = [_convolve(a, b) for a, b in zip(queue[::2], queue[1::2])]
+        queue = sorted(joined + queue[len(joined) * 2 :], key=len)
+    return queue[0]
+
+
+def _convolve(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    if min(len(a), len(b)) < 256:
+        return np.convolve(a, b)
+    n = len(a) + len(b) - 1
+    size = 1 << (n - 1).bit_length()
+    return np.maximum(np.fft.irfft(np.fft.rfft(a, size) * np.fft.rfft(b, size), size)[:n], 0.0)
+
+
 def hypergeometric_tail(strata: pd.DataFrame) -> tuple[float, float]:
     """(lower, upper) tail of the summed count over strata (a, m1, k, n), by convolving exact distributions."""
-    dist, seen = [1.0], 0
-    log_choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
-    low_sum = 0
-    for a, m1, k, n in strata[["a", "m1", "k", "n"]].itertuples(index=False):
-        a, m1, k, n = int(a), int(m1), int(k), int(n)
+    m1, k, n = (strata[c].to_numpy(np.int64) for c in ("m1", "k", "n"))
+    logs = np.array([math.lgamma(i + 1) for i in range(int(n.max(initial=0)) + 1)])
+    log_choose = lambda n, k: logs[n] - logs[k] - logs[n - k]
+    parts, seen, low_sum = [], int(strata["a"].sum()), 0
+    for m1, k, n in zip(m1.tolist(), k.tolist(), n.tolist()):
         low, high = max(0, m1 + k - n), min(m1, k)
-        pmf = [math.exp(log_choose(k, x) + log_choose(n - k, m1 - x) - log_choose(n, m1)) for x in range(low, high + 1)]
-        out = [0.0] * (len(dist) + len(pmf) - 1)
-        for i, p in enumerate(dist):
-            for j, q in enumerate(pmf):
-                out[i + j] += p * q
-        dist, seen, low_sum = out, seen + a, low_sum + low
+        low_sum += low
+        if high > low:
+            x = np.arange(low, high + 1)
+            pmf = np.exp(log_choose(k, x) + log_choose(n - k, m1 - x) - log_choose(n, m1))
+            parts.append(pmf / pmf.sum())
+    dist = convolved(parts)
     at = seen - low_sum
     return min(1.0, math.fsum(dist[: at + 1])), min(1.0, math.fsum(dist[at:]))
